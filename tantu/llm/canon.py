@@ -180,7 +180,7 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
         for ident, iast, u, n in held.value:
             entries_by_id.setdefault(ident, (u, iast))
             weights[ident] = n
-            for key in {k for e in entry_keys_of(u, iast) for k in deletions(e, distance)}:
+            for key in {k for e in entry_keys_of(u, iast).values() for k in deletions(e, distance)}:
                 by_key.setdefault(key, []).append(ident)
         for batch in batches:
             out = []
