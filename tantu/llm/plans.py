@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tantu.llm import canon, lookalikes
+from tantu.llm import canon, leaks, lookalikes, termcounts
 from tantu.session import table
 
 
@@ -31,5 +31,22 @@ def p7_unmatched(spark: SparkSession, path: str) -> DataFrame:
     return canon.mapped_rows(partial(table, spark, path), cost=True).where("head_id = -1").groupBy("src", "val").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p7_found, p7_unmatched)}
+def p6_found(spark: SparkSession, path: str) -> DataFrame:
+    return termcounts.corpus_marks(partial(table, spark, path)).where("mark is not null").select("fld", "term", "mark")
+
+
+def p6_counts(spark: SparkSession, path: str) -> DataFrame:
+    return termcounts.corpus_marks(partial(table, spark, path)).select("fld", "term", "total", "records")
+
+
+def p8_found(spark: SparkSession, path: str) -> DataFrame:
+    return leaks.leaked(table(spark, path, "documents"), table(spark, path, "eval_items"))
+
+
+def p8_alignments(spark: SparkSession, path: str) -> DataFrame:
+    found = leaks.alignments(table(spark, path, "documents"), table(spark, path, "eval_items"))
+    return found.withColumn("share", F.round("share", 4))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments)}
 SQL: dict[str, str] = {}
