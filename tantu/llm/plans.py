@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tantu.llm import canon, leaks, lookalikes, termcounts
+from tantu.llm import canon, leaks, lookalikes, quality, termcounts
 from tantu.session import table
 
 
@@ -48,5 +48,14 @@ def p8_alignments(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("share", F.round("share", 4))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments)}
+def p10_found(spark: SparkSession, path: str) -> DataFrame:
+    return quality.not_prose(table(spark, path, "documents"))
+
+
+def p10_statistics(spark: SparkSession, path: str) -> DataFrame:
+    found = quality.text_types(table(spark, path, "documents"))
+    return found.select("doc_id", "kind", *[F.round(c, 4).alias(c) for c in (*quality.STATS, "p_prose", "p_list", "p_table", "p_junk")])
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
