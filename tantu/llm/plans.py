@@ -7,10 +7,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tantu.llm import canon, leaks, lookalikes, quality, termcounts
+from tantu.llm import alignment, canon, leaks, lookalikes, quality, termcounts
 from tantu.session import table
 
 
+def p1_found(spark: SparkSession, path: str) -> DataFrame:
+    return alignment.aligned_pairs(partial(table, spark, path))
+
+
 def p3_found(spark: SparkSession, path: str) -> DataFrame:
     return lookalikes.lookalike_rows(partial(table, spark, path))
 
@@ -57,5 +61,5 @@ def p10_statistics(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", "kind", *[F.round(c, 4).alias(c) for c in (*quality.STATS, "p_prose", "p_list", "p_table", "p_junk")])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
