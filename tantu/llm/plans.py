@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tantu.llm import alignment, canon, leaks, lookalikes, quality, termcounts
+from tantu.llm import alignment, canon, leaks, lookalikes, mixing, quality, termcounts
 from tantu.session import table
 
 
@@ -52,6 +52,15 @@ def p8_alignments(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("share", F.round("share", 4))
 
 
+def p9_mix(spark: SparkSession, path: str) -> DataFrame:
+    return mixing.mixed(table(spark, path, "documents"), table(spark, path, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, path: str) -> DataFrame:
+    report = mixing.mixed(table(spark, path, "documents"), table(spark, path, "mix_targets"))[1]
+    return report.withColumn("share", F.round("share", 6))
+
+
 def p10_found(spark: SparkSession, path: str) -> DataFrame:
     return quality.not_prose(table(spark, path, "documents"))
 
@@ -61,5 +70,5 @@ def p10_statistics(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", "kind", *[F.round(c, 4).alias(c) for c in (*quality.STATS, "p_prose", "p_list", "p_table", "p_junk")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments, p9_mix, p9_shares, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
