@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tantu.functions.lookalike import IGNORABLE, LETTERS, SEQUENCES, SPACES
 from tantu.llm import alignment, canon, leaks, lookalikes, mixing, quality, termcounts
 from tantu.session import table
 
@@ -43,6 +44,11 @@ def p6_counts(spark: SparkSession, path: str) -> DataFrame:
     return termcounts.corpus_marks(partial(table, spark, path)).select("fld", "term", "total", "records")
 
 
+def p6_updated(spark: SparkSession, path: str) -> DataFrame:
+    """The same counts, reached by two deliveries: what came before 2024, then what was added or sent again since."""
+    return termcounts.updated_counts(partial(table, spark, path)).select("fld", "term", "total", "records")
+
+
 def p8_found(spark: SparkSession, path: str) -> DataFrame:
     return leaks.leaked(table(spark, path, "documents"), table(spark, path, "eval_items"))
 
@@ -70,5 +76,33 @@ def p10_statistics(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", "kind", *[F.round(c, 4).alias(c) for c in (*quality.STATS, "p_prose", "p_list", "p_table", "p_junk")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_counts, p7_found, p7_unmatched, p8_found, p8_alignments, p9_mix, p9_shares, p10_found, p10_statistics)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent, p6_found, p6_counts, p6_updated, p7_found, p7_unmatched, p8_found, p8_alignments, p9_mix, p9_shares, p10_found, p10_statistics)}
+_LOOK = "".join(LETTERS)
+_PLAIN = "".join(LETTERS.values())
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)).replace("＇", "")
+_NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "")
+
+
+def _consistent_sql(x: str) -> str:
+    """The look of a word by table alone, composed: what the automaton's free moves amount to."""
+    out = f"translate({x}, '{IGNORABLE}', '')"
+    out = f"trim(translate({out}, '{SPACES}', '{' ' * len(SPACES)}'), ' \t\r\n')"
+    out = f"nfc_normalize(translate(translate({out}, '{_WIDE}', '{_NARROW}'), '{_LOOK}', '{_PLAIN}'))"
+    for letter, shown in sorted(SEQUENCES.items(), key=lambda p: -len(p[1])):
+        if letter != "।":
+            out = f"replace({out}, '{shown}', '{letter}')"
+    return out
+
+
+_WORDS = """w as (select distinct 'work_units' as src, unit_id as row_id, (i - 1)::int as pos, ws[i] as v from (select *, unnest(range(1, len(ws) + 1)) as i from (select unit_id, coalesce(words, list_filter(string_split(w, ' '), lambda x: x <> '')) as ws from work_units))
+ union select 'mw_entries', mw_id, 0, u from mw_entries union select 'morph_entries', entry_id, (i - 1)::int, m[i].l from (select entry_id, m, unnest(range(1, len(m) + 1)) as i from morph_entries))"""
+_TERMS = """u as (select distinct unit_id, coalesce(words, list_filter(string_split(w, ' '), lambda x: x <> '')) as ws from work_units), a as (select unit_id, unnest(ws) as term from u), n as (select count(distinct unit_id) as n from work_units),
+ g as (select distinct group_id, lemma from parse_groups where lemma <> ''), c as (select 'words' as fld, term, count(*) as total, count(distinct unit_id) as records, (select n from n) as n from a where term <> '' group by term
+ union all select 'lemma', lemma, count(*), count(distinct group_id), (select count(distinct group_id) from g) from g group by lemma)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"with {_WORDS}, h as (select u as s, head_id from headwords union select iast, head_id from headwords) select distinct src, row_id, pos, head_id from (select *, {_consistent_sql('v')} as s from w where v <> '') x join h using (s) where v <> s",
+    "p6_found": f"with {_TERMS} select fld, term, case when records < 3 then 'rare' else 'common' end as mark from c where records < 3 or records > 0.01 * n",
+    "p6_counts": f"with {_TERMS} select fld, term, total, records from c",
+}
+SQL["p6_updated"] = SQL["p6_counts"]

@@ -125,3 +125,17 @@ def corpus_marks(tables) -> DataFrame:
     store = TermStore(records.sparkSession)
     store.apply(records)
     return store.marks()
+
+
+def updated_counts(tables, since: str = "2024-01-01") -> DataFrame:
+    """(fld, term, total, records, mark) by two deliveries to one store: the records known before a day, then all changes.
+
+    The second delivery holds the records seen since and sends the units' older ones again: unchanged, they count nothing.
+    """
+    day = F.to_timestamp(F.lit(since))
+    before = lambda n: tables(n).where(F.col("ingested_at" if n == "work_units" else "seen_at") < day) if n in ("work_units", "parse_groups") else tables(n)
+    first, every = corpus_records(before), corpus_records(tables)
+    store = TermStore(every.sparkSession)
+    store.apply(first)
+    store.apply(every)
+    return store.marks()
