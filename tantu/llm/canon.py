@@ -171,6 +171,7 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
     if headwords.limit(limit + 1).count() > limit:
         return _joined(open_values, entries, distance)
     listed = sorted((r.head_id, r.iast, r.u or "", r.n) for r in entries.collect())
+    longest = distance + max((len(k) for e in listed for k in entry_keys_of(e[2], e[1]).values()), default=0)
     context = values.sparkSession.sparkContext
     held = context.broadcast(listed)
 
@@ -186,7 +187,7 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
             out = []
             for value in batch["val"]:
                 near: set[int] = set()
-                for typed in {k for _, k, _ in keys_of(value)}:
+                for typed in {k for _, k, _ in keys_of(value) if len(k) <= longest}:  # a longer key is near to none
                     for key in deletions(typed, distance):
                         near.update(by_key.get(key, ()))
                 out.append((value, *rank(value, {i: entries_by_id[i] for i in near}, weights)))
@@ -196,9 +197,11 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
 
 
 def _joined(open_values: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
+    longest = distance + (entries.agg(F.max(F.greatest(F.length("iast"), F.length(F.coalesce("u", F.lit(""))))).alias("n")).first().n or 0)
+
     def value_keys(batches):
         for batch in batches:
-            rows = [(v, k) for v in batch["val"] for k in {k for _, t, _ in keys_of(v) for k in deletions(t, distance)}]
+            rows = [(v, k) for v in batch["val"] for k in {k for _, t, _ in keys_of(v) if len(t) <= longest for k in deletions(t, distance)}]
             yield pd.DataFrame(rows, columns=["val", "key"])
 
     def entry_keys(batches):

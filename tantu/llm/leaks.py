@@ -82,13 +82,19 @@ def item_grams(items: list[tuple[int, str, str | None]]) -> tuple[dict[str, list
 
 
 def rare_seeds(grams: dict[str, list[tuple[int, int]]], held: dict, df: dict[str, int]) -> dict[str, set[int]]:
-    """The seeds: for every window of an item that is as long as a leak, its rarest n-gram (first of equals) -> items."""
+    """The seeds: for every window of an item that is as long as a leak, its rarest n-gram that occurs at all -> items.
+
+    Of equally rare ones the first. A window that stands in some document has only n-grams that occur, so its seed is among
+    that document's hits; a window none of whose n-grams occurs needs no seed.
+    """
     at = {(ident, k): g for g, places in grams.items() for ident, k in places}
     seeds: dict[str, set[int]] = {}
     for ident, (tokens, least, n) in held.items():
         for start in range(len(tokens) - least + 1):
             inner = [at[ident, k] for k in range(start, start + least - n + 1)]
-            seeds.setdefault(min(inner, key=lambda g: (df.get(g, 0), inner.index(g))), set()).add(ident)
+            known = [g for g in inner if df.get(g, 0)]
+            if known:
+                seeds.setdefault(min(known, key=lambda g: (df[g], known.index(g))), set()).add(ident)
     return seeds
 
 
