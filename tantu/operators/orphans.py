@@ -50,14 +50,15 @@ def orphans(children: DataFrame, parents: DataFrame, bits: int = BITS) -> DataFr
     joined by or. A child with a null key part never finds a target; a null t finds none either, as nothing is known to be
     there at that time. Rows are neither merged nor dropped: repeated children come out as often as they came in.
     """
-    keyed = children.withColumn("__h", F.xxhash64("key"))
-    held = parents.select(F.col("key").alias("__k"), F.col("since").alias("__since"), F.col("until").alias("__until"))
+    own = [F.col(f"`{c}`") for c in children.columns]
+    boxed = children.select(F.struct(*own).alias("row"), F.col("key").alias("k"), F.col("t").alias("at"))  # no name can clash
+    held = parents.select(F.col("key").alias("held"), "since", "until")
     bitmap = bloom_bitmap(parents.select(F.xxhash64("key").alias("h")), "h", bits)
-    tested = keyed.withColumn("__maybe", might_contain(bitmap.scalar(), F.col("__h"), bits))
-    definite = tested.where(~F.col("__maybe"))
-    there = (F.col("key") == F.col("__k")) & (F.col("__since") <= F.col("t")) & (F.col("__until").isNull() | (F.col("__until") > F.col("t")))
-    checked = tested.where(F.col("__maybe")).join(held, there, "left_anti")
-    return definite.unionByName(checked).drop("__h", "__maybe")
+    tested = boxed.withColumn("maybe", might_contain(bitmap.scalar(), F.xxhash64("k"), bits))
+    definite = tested.where(~F.col("maybe"))
+    there = (F.col("k") == F.col("held")) & (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at")))
+    checked = tested.where(F.col("maybe")).join(held, there, "left_anti")
+    return definite.unionByName(checked).select("row.*")
 
 
 def unit_references(spark_tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
