@@ -56,7 +56,7 @@ def dev_to_iast(col: Column) -> Column:
 
 def iast_to_dev(col: Column) -> Column:
     """IAST to Devanagari, whatever its case: a vowel after a consonant becomes its sign, a bare consonant gets a virama."""
-    out = nfc_iast(F.lower(col))
+    out = F.replace(nfc_iast(F.lower(col)), F.lit("m̐"), F.lit("ँ"))  # before its m is taken for a consonant
     single, rest = _split_table(CONSONANTS)
     out = _translate(_replace_each(out, rest), single)
     vowels = "|".join(sorted(VOWELS, key=len, reverse=True))
