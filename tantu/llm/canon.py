@@ -193,7 +193,9 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
                 out.append((value, *rank(value, {i: entries_by_id[i] for i in near}, weights)))
             yield pd.DataFrame(out, columns=["val", "head_id", "cost"])
 
-    return open_values.mapInPandas(run, "val string, head_id long, cost double")
+    # short values, long work: the partitions are asked for, as their bytes would have them merged into few tasks
+    spread = open_values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "val")
+    return spread.mapInPandas(run, "val string, head_id long, cost double")
 
 
 def _joined(open_values: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
