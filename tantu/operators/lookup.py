@@ -18,16 +18,17 @@ def surface_index(forms: DataFrame, keys: DataFrame, least: int = 4) -> DataFram
     """
     distinct = forms.select("form").where(F.col("form").isNotNull() & (F.col("form") != "")).distinct().where(~is_punctuation(F.col("form")))
     known = keys.select("key").distinct()
-    own = tries(distinct, canonical_keys(F.col("form")), "no", "key")
-    exact = first_by(own.join(known, "key", "left_semi").select("form", "no", "key"), ["form"], ["no"]).select("form", "key", F.lit("exact").alias("tier"))
-    open1 = distinct.join(exact, "form", "left_anti")
-    members = open1.where(F.col("form").contains("-")).select("form", F.posexplode(hyphen_members(F.col("form"))).alias("m", "member"))
-    by_member = tries(members, canonical_keys(F.col("member")), "no", "key")
-    member = first_by(by_member.join(known, "key", "left_semi").select("form", "m", "no", "key"), ["form"], ["m", "no"]).select("form", "key", F.lit("member").alias("tier"))
-    open2 = own.join(exact, "form", "left_anti").join(member, "form", "left_anti").withColumnRenamed("key", "spelling")
-    cut = longest_prefix(open2, known, ["form", "no"], "spelling", "key", least)
-    prefix = first_by(cut.select("form", "no", F.col("prefix").alias("key")), ["form"], ["no"]).select("form", "key", F.lit("prefix").alias("tier"))
-    return exact.unionByName(member).unionByName(prefix)
+    # one join finds the exact hits and keeps every form's spellings for what comes next
+    spelled = distinct.select("form", F.posexplode_outer(canonical_keys(F.col("form"))).alias("no", "key")).join(known.withColumn("hit", F.lit(True)), "key", "left")
+    one = F.struct("no", "key")
+    tried = spelled.groupBy("form").agg(F.min(F.when(F.col("hit"), one)).alias("best"), F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), one))).alias("spellings"))
+    exact = tried.where("best is not null").select("form", F.col("best.key").alias("key"), F.lit("exact").alias("tier"))
+    # the rest try their members, then the beginnings of their spellings, in one join as well
+    member = F.flatten(F.transform(hyphen_members(F.col("form")), lambda m, i: F.transform(canonical_keys(m), lambda k, j: F.struct(F.lit(1).alias("tier"), (i * 100 + j).alias("a"), F.lit(0).alias("b"), k.alias("key")))))
+    begun = lambda s: F.transform(F.when(F.length(s["key"]) > least, F.sequence(F.length(s["key"]) - 1, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.struct(F.lit(2).alias("tier"), s["no"].alias("a"), (-n).alias("b"), F.substring(s["key"], F.lit(1), n).alias("key")))
+    other = tried.where("best is null").select("form", F.explode(F.concat(member, F.flatten(F.transform("spellings", begun)))).alias("c")).select("form", "c.*")
+    found = first_by(other.join(known, "key", "left_semi").select("form", "tier", "a", "b", "key"), ["form"], ["tier", "a", "b"])
+    return exact.unionByName(found.select("form", "key", F.when(F.col("tier") == 1, "member").otherwise("prefix").alias("tier")))
 
 
 def work_slices(token_rows: DataFrame, index: DataFrame) -> DataFrame:
