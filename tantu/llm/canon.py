@@ -194,7 +194,7 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
             yield pd.DataFrame(out, columns=["val", "head_id", "cost"])
 
     # short values, long work: the partitions are asked for, as their bytes would have them merged into few tasks
-    spread = open_values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "val")
+    spread = open_values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("val"))
     return spread.mapInPandas(run, "val string, head_id long, cost double")
 
 
