@@ -111,12 +111,12 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "pos", F.col("u.ref").alias("ref"), text.alias("text"), "d.translator", "d.year", "d.license", "d.alignment", "d.note").where("text is not null")
 
 
-def read_analysis(spark: SparkSession, path: str) -> DataFrame:
-    """Analysis rows of a JSON array with row_id, their place in it."""
+def read_analysis(spark: SparkSession, path: str, keep_file: bool = False) -> DataFrame:
+    """Analysis rows of JSON arrays with row_id, their place in their array; with keep_file also the array's file."""
     fields = ("chpatno", "slokano", "poem", "word", "sandhied_word", "morph_analysis", "morph_in_context", "english_meaning")
-    docs = whole(spark, path).select(F.from_json("value", "array<map<string,string>>").alias("a"))
-    rows = docs.select(F.posexplode("a").alias("row_id", "r"))
-    return rows.select(F.col("row_id").cast("bigint"), *[F.col("r")[f].alias(f) for f in fields])
+    docs = whole(spark, path).select("file", F.from_json("value", "array<map<string,string>>").alias("a"))
+    rows = docs.select("file", F.posexplode("a").alias("row_id", "r"))
+    return rows.select(*(["file"] if keep_file else []), F.col("row_id").cast("bigint"), *[F.col("r")[f].alias(f) for f in fields])
 
 
 def read_slokas(spark: SparkSession, path: str) -> DataFrame:
