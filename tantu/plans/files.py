@@ -158,14 +158,15 @@ def word_index_files(spark, t, folder):
     posted = search.postings(reading.tokens(t("work_units")), [F.struct(*reading.ref_place()), "unit_id", "token_index"]).where("work_id is not null")
     works = posted.select("work_id").distinct()
     meta = works.agg(F.to_json(F.struct(F.lit(1).alias("v"), F.array_sort(F.collect_list("work_id")).alias("works"))).alias("value"))
-    meta.write.text(f"{folder}/meta")
+    meta.coalesce(1).write.text(f"{folder}/meta")
+    meta_file = spark.read.text(f"{folder}/meta").select(F.input_file_name()).first()[0]
     order = F.from_json(meta.select("value").scalar(), "works array<string>")["works"]
     pair = F.concat(F.lit("["), (F.array_position(order, F.col("work_id")) - 1).cast("string"), F.lit(',"'), F.col("first_ref"), F.lit('"]'))
     terms = posted.withColumn("pair", pair).groupBy("letter", "term").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("pair")), ",").alias("ps"))
     name = F.concat(F.lit('"'), F.col("term"), F.lit('"'))  # terms are plain letters and digits
     lines = terms.select(F.coalesce(F.nullif("letter", F.lit("")), F.lit("_")).alias("letter"), F.concat(name, F.lit(":["), F.col("n").cast("string"), F.lit(",["), F.col("ps"), F.lit("]]")).alias("e"))
     lines.groupBy("letter").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("e")), ","), F.lit("}")).alias("value")).write.partitionBy("letter").text(f"{folder}/shards")
-    return files.read_postings(spark, f"{folder}/meta", f"{folder}/shards/*/*").select("term", "total", "work_id", "first_ref")
+    return files.read_postings(spark, meta_file, f"{folder}/shards/*/*").select("term", "total", "work_id", "first_ref")
 
 
 @query()

@@ -18,6 +18,18 @@ def whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
 
 
+def one_document(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): one small document, also if its name begins with _, which scans of folders leave out."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame([(path, text)], "file string, value string")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Works of a catalog document, each with its author, in the catalog's order.
 
@@ -90,7 +102,7 @@ def _struct(ddl: str) -> str:
 
 def read_postings(spark: SparkSession, meta: str, path: str) -> DataFrame:
     """(term, total, work_id, first_ref) of a word index: its list of works and its shards of mixed arrays."""
-    works = whole(spark, meta).select(F.from_json("value", "v bigint, letters array<string>, works array<string>").alias("d")).select(F.posexplode("d.works").alias("i", "work_id"))
+    works = one_document(spark, meta).select(F.from_json("value", "v bigint, letters array<string>, works array<string>").alias("d")).select(F.posexplode("d.works").alias("i", "work_id"))
     rows = read_map(spark, path, "array<string>").select(F.col("key").alias("term"), F.col("value")[0].try_cast("bigint").alias("total"), F.explode(F.from_json(F.col("value")[1], "array<array<string>>")).alias("p"))
     return rows.select("term", "total", F.col("p")[0].try_cast("int").alias("i"), F.col("p")[1].alias("first_ref")).join(F.broadcast(works), "i").select("term", "total", "work_id", "first_ref")
 
