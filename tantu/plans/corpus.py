@@ -265,7 +265,7 @@ def merge_stats(t):
     existing, new = _halves(t)
     origin = F.date_format("built_at", "yyyy-MM")
     a, b = existing.withColumn("origin", origin), new.withColumn("origin", origin)
-    return ordered.merge_stats(ordered.ordered_merge(a, b, ["slp_key"], ["l", "p", "f"], ["ord_no", "built_at"]), b, ["slp_key"], "origin")
+    return ordered.merge_stats(ordered.ordered_merge(a, b, ["slp_key"], ["l", "p", "f"], ["ord_no", "built_at"]), b, ["slp_key"], "origin").drop("new_keys")
 
 
 # Lookup ----------------------------------------------------------------------------------------------------------------
@@ -616,3 +616,38 @@ def _store_halves(t):
 def relative_times(t):
     seconds = F.lit(1706745600.0) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return t("events").select("event_id", misc.rel_time(seconds).alias("said"))
+
+
+# SQL of the surface index and of what is built on it: keys of forms, own key first, then members', then beginnings ---------
+
+_FORMS = f"fs as (select distinct form from toks where form is not null and form <> '' and not regexp_matches(form, '^[।॥0-9.,;:!?“”''\"()\\-\\s]+$')), ks as (select form, {duck.canonical_keys('form')} as keys from fs)"
+_INDEX = f"""{TOKENS}, known as (select distinct slp_key as key from morph_entries where slp_key is not null), {_FORMS},
+ own as (select form, unnest(keys) as key, unnest(range(len(keys))) as no from ks), ex as (select form, arg_min(key, no) as key, 'exact' as tier from own where key in (select key from known) group by form),
+ mm as (select form, member, m from (select form, unnest(list_filter(list_transform(string_split(form, '-'), lambda p: trim(p)), lambda p: p <> '')) as member, unnest(range(len(list_filter(list_transform(string_split(form, '-'), lambda p: trim(p)), lambda p: p <> '')))) as m from fs where contains(form, '-') and form not in (select form from ex))),
+ mk as (select form, m, unnest(keys) as key, unnest(range(len(keys))) as no from (select form, m, {duck.canonical_keys('member')} as keys from mm)), me as (select form, arg_min(key, {{a: m, b: no}}) as key, 'member' as tier from mk where key in (select key from known) group by form),
+ pp as (select form, no, left(key, n) as key, n from (select *, unnest(range(4, length(key))) as n from own where form not in (select form from ex) and form not in (select form from me))),
+ pr as (select form, arg_min(key, {{a: no, b: -n}}) as key, 'prefix' as tier from pp where key in (select key from known) group by form), idx as (select * from ex union all select * from me union all select * from pr)"""
+_SLICE_OF = f"{duck.table_map(keys.SLICES)}[nullif(regexp_extract(form, '[{''.join(keys.SLICES)}]'), '')]"
+
+SQL["surface_index"] = f"with {_INDEX} select form, key, tier from idx"
+SQL["work_slices"] = f"with {_INDEX} select distinct work_id, form, key from toks join idx using (form)"
+SQL["scoped_keys"] = f"""with {_INDEX}, sl as (select distinct work_id, form, key from toks join idx using (form)), q as (select distinct work_id, lemma as form from parse_groups where lemma <> '')
+ select work_id, form, key from (select q.work_id, q.form, case when q.work_id in (select work_id from sl where work_id is not null) then sl.key else idx.key end as key from q left join sl on q.work_id = sl.work_id and q.form = sl.form left join idx on q.form = idx.form) where key is not null"""
+SQL["slice_sizes"] = f"with {_INDEX} select {_SLICE_OF} as slice, count(*) as forms, sum(octet_length(encode(form)) + octet_length(encode(key)))::bigint as bytes from idx group by all"
+SQL["coverage_by_work"] = f"""with {_INDEX}, st as (select distinct form from own where key in (select key from known) union select form from (select form, m, unnest(keys) as key from (select form, 0 as m, {duck.canonical_keys('member')} as keys from (select form, unnest(list_filter(list_transform(string_split(form, '-'), lambda p: trim(p)), lambda p: p <> '')) as member from fs where contains(form, '-')))) where key in (select key from known)),
+ c as (select work_id, count(*) as words, count_if(form in (select form from idx)) as loose_hits, count_if(form in (select form from st)) as strict_hits from toks where form in (select form from fs) group by work_id)
+ select work_id, words, loose_hits::bigint as loose_hits, strict_hits::bigint as strict_hits, round(100.0 * loose_hits / words, 1) as loose_pct, round(100.0 * strict_hits / words, 1) as strict_pct from c"""
+SQL["token_analyses"] = f"""with {_INDEX}, af as (select distinct form from toks where form is not null), cand as (select form, list_filter([idx.key, case when not regexp_matches(form, '[\\x{{0900}}-\\x{{097F}}]') then {duck.strip_accents('form')} end], lambda k: k is not null) as cs,
+ list_filter([{duck.slp1_key_for('form')}, case when regexp_matches(form, '[\\x{{0900}}-\\x{{097F}}]') then lower({duck.dev_to_iast('form')}) end], lambda k: k is not null and regexp_matches(k, '^[a-z~]+$')) as ts from af left join idx using (form)),
+ c2 as (select form, arg_min(key, no) as key from (select form, ts, unnest(cs) as key, unnest(range(len(cs))) as no from cand) where list_contains(ts, key) and key in (select key from known) group by form),
+ e as (select distinct entry_id, slp_key as key, ord_no, l, p, f, g, x from morph_entries), d as (select form, key, ord_no, l, p, f, g, x from c2 join e using (key)),
+ al as (select * replace ({duck.strip_accents('form')} as form) from d where {duck.strip_accents('form')} <> form) select distinct * from d union select distinct * from al where form not in (select form from d)"""
+SQL["merge_stats"] = f"""with e as ({_ENTRY}), s as (select slp_key, l, p, f, min({{s: (built_at is not null and built_at >= timestamptz '2023-10-01 00:00:00+00')::int, o: ord_no, b: built_at}}) as place from e where slp_key is not null group by all),
+ o as (select *, strftime(place.b, '%Y-%m') as origin, place.s = 1 as is_new from s), n as (select distinct slp_key, ord_no, l, p, f, built_at from e where slp_key is not null and built_at >= timestamptz '2023-10-01 00:00:00+00'),
+ seen as (select strftime(built_at, '%Y-%m') as origin, count(*) as entries from n group by 1), added as (select origin, count(*) as added from o where is_new group by 1)
+ select origin, entries, coalesce(added, 0) as added from seen left join added using (origin)"""
+SQL["morph_shards"] = f"""with a as (select distinct * from analysis_rows), t as (select row_id, unnest([sandhied_word, word, nullif(regexp_extract(coalesce(morph_in_context, ''), '^\\s*([^{{}}]+?)\\s*\\{{', 1), '')]) as field from a),
+ v as (select row_id, trim(regexp_replace(trim(x), '^[()«»"''“”]+|[()«»"''“”]+$', '', 'g')) as form from (select row_id, unnest(regexp_split_to_array(field, '[;,]')) as x from t where field is not null)),
+ w as (select row_id, form from v union select row_id, trim(p) from (select row_id, unnest(string_split(form, '-')) as p from v where contains(form, '-'))), k as (select distinct row_id, {duck.slp1_key('form')} as key from w), vk as (select * from k where regexp_matches(key, '^[a-z~]+$')),
+ r as ({SQL['analysis_readings']}), s as (select key, l, p, f, min({{a: vk.row_id, b: pos}}) as place from vk join r on vk.row_id = r.row_id group by all)
+ select key[1:1] as letter, key, (row_number() over (partition by key order by place) - 1)::int as ord, l, p, f from s where regexp_matches(key, '^[a-z]')"""

@@ -100,3 +100,24 @@ def pos_class(p: str, f: str) -> str:
 
 def pos_abbr(p: str) -> str:
     return f"case trim(coalesce({p}, '')) when 'noun' then 'n.' when 'verb' then 'v.' when 'part' then 'ptcp.' when 'indecl' then 'indecl.' when '' then '' else {p} || '.' end"
+
+
+def slp1_key(x: str) -> str:
+    """Key of a word in any script, lower case; plain letters are Harvard-Kyoto."""
+    pairs = {"RRi": "①", "RRI": "②", "LRi": "③", "LRI": "④", "kh": "⑤", "gh": "⑥", "ch": "⑦", "jh": "⑧", "Th": "⑨", "Dh": "⑩", "th": "⑪", "dh": "⑫", "ph": "⑬", "bh": "⑭", "Sh": "⑮", "Ri": "⑯", "RI": "⑰"}
+    single = dict(zip("①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰TDGJNz", "ffxxkgcjwqtdpbzffwqnyrs", strict=True))
+    hk = f"lower({swap(swap_each(x, pairs), single)})"
+    return f"case when regexp_matches({x}, '[\\x{{0900}}-\\x{{097F}}āīūṛṝḷḹṅñṭḍṇśṣṃḥ]') then {roman_key(x)} else {hk} end"
+
+
+def roman_key(x: str) -> str:
+    """Lower-case SLP1 of a Devanagari or IAST word, with whatever else it holds."""
+    single, rest = _split({k: v for k, v in SLP1.items() if k != v and k != "’"})
+    return f"replace(lower({swap(swap_each(f'nfc_normalize(lower({dev_to_iast(x)}))', rest), single)}), '’', '''')"
+
+
+def canonical_keys(x: str) -> str:
+    """The one or two keys of a form, in order."""
+    plain = f"translate({x}, '''’', '')"
+    keys = f"[replace({slp1_key(plain)}, '''', ''), replace(case when regexp_matches({plain}, '[\\x{{0900}}-\\x{{097F}}]') then {slp1_key(dev_to_iast(plain))} else {roman_key(plain)} end, '''', '')]"
+    return f"(select list_filter(ks, lambda k, i: regexp_matches(k, '^[a-z~]+$') and list_position(ks, k) = i) from (select {keys} as ks))"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tantu.operators import build, lookup, reading, search
+from tantu.plans import corpus
 from tantu.plans.duck import ELEMENTS, UNITS
 from tantu.session import shared_dir, table
 from tantu.sources import files
@@ -175,3 +176,9 @@ def edition_files(spark, t, folder):
     placed, omitted = build.occurrence_rows(t("analysis_rows").distinct())
     files.write_report(build.edition_report(placed, omitted), f"{folder}/report")
     return spark.read.schema("work_id string, reader_tokens bigint, aligned bigint, alignment_pct double, omitted bigint").json(f"{folder}/report")
+
+
+SQL["word_index_files"] = f"with p as ({corpus.SQL['word_index']}) select term, (sum(n) over (partition by term))::bigint as total, work_id, first_ref from p where work_id is not null"
+SQL["edition_files"] = corpus.SQL["edition_report"]
+SQL["surface_tables"] = f"""with s as ({corpus.SQL['slice_sizes']}), w as ({corpus.SQL['work_slices']}) select 'slice' as kind, slice as part, forms from s where slice is not null
+ union all select 'work', work_id, count(*) from w group by work_id"""
