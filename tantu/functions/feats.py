@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tantu.functions.translit import strip, strip_accents
+
 # Tags of cases, genders, numbers, persons, voices and tenses, from the annotation scheme's names.
 CASE = {"Nom": "1", "Acc": "2", "Ins": "3", "Dat": "4", "Abl": "5", "Gen": "6", "Loc": "7", "Voc": "सम्बोधन"}
 GENDER = {"Masc": "पुं", "Fem": "स्त्री", "Neut": "नपुं"}
@@ -34,7 +36,7 @@ def parse_feats(field: Column) -> Column:
 
     ``_`` and null are empty; a pair without a key or a value is dropped.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce(field, F.lit("_")), r"\|"), lambda s: F.trim(s)), lambda p: (p != "") & (p != "_"))
+    parts = F.filter(F.transform(F.split(F.coalesce(field, F.lit("_")), r"\|"), lambda s: strip(s)), lambda p: (p != "") & (p != "_"))
     pair = lambda p: F.struct(
         F.when(p.contains("="), F.substring_index(p, "=", 1)).otherwise(p).alias("k"),
         F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit("")).alias("v"),
@@ -94,12 +96,12 @@ def map_feats(upos: Column, feats: Column) -> Column:
 
 def parse_analysis(field: Column) -> Column:
     """array<struct<l, p, f>> of ``form{tag}{tag;tag}/form{tag}``: unclosed readings and those without a form are dropped."""
-    paths = F.transform(F.split(F.coalesce(field, F.lit("")), "/"), lambda s: F.trim(s))
-    whole = F.filter(paths, lambda p: (p != "") & (~p.contains("{") | p.contains("}")) & (F.trim(F.regexp_extract(p, "^([^{}]*)", 1)) != ""))
+    paths = F.transform(F.split(F.coalesce(field, F.lit("")), "/"), lambda s: strip(s))
+    whole = F.filter(paths, lambda p: (p != "") & (~p.contains("{") | p.contains("}")) & (strip(F.regexp_extract(p, "^([^{}]*)", 1)) != ""))
 
     def reading(path: Column) -> Column:
-        form = F.trim(F.regexp_extract(path, "^([^{}]*)", 1))
-        tags = F.filter(F.transform(F.slice(F.split(path, "[{}]"), 2, 99), lambda s: F.trim(s)), lambda t: t != "")
+        form = strip(F.regexp_extract(path, "^([^{}]*)", 1))
+        tags = F.filter(F.transform(F.slice(F.split(path, "[{}]"), 2, 99), lambda s: strip(s)), lambda t: t != "")
         first, every = F.try_element_at(tags, F.lit(1)), F.array_join(tags, ";")
         pos = (
             F.when(first.isNull(), "")
@@ -164,13 +166,13 @@ def compact_feats(f: Column) -> Column:
 
 def pos_abbr(p: Column) -> Column:
     table = _map({"noun": "n.", "verb": "v.", "part": "ptcp.", "indecl": "indecl."})
-    given = F.trim(F.coalesce(p, F.lit("")))
+    given = strip(F.coalesce(p, F.lit("")))
     return F.coalesce(table[given], F.when(given != "", F.concat(p, F.lit("."))), F.lit(""))
 
 
 def pos_class(p: Column, f: Column) -> Column:
     """noun, verb, part, indecl or other; a participle without tense and voice counts as a noun."""
-    given = F.trim(F.coalesce(p, F.lit("")))
+    given = strip(F.coalesce(p, F.lit("")))
     bare = (F.size(slot(f, "tense")) == 0) & (F.size(slot(f, "voice")) == 0)
     return F.when(given.isin("noun", "verb", "indecl"), given).when(given == "part", F.when(bare, "noun").otherwise("part")).otherwise("other")
 
@@ -191,8 +193,6 @@ def is_samasa(m: Column) -> Column:
 
 def norm_lemma(lemma: Column) -> Column:
     """A lemma's identity in grouping: no accents, outer brackets or homonym number; visarga and anusvara resolved."""
-    from tantu.functions.translit import strip_accents
-
     out = F.regexp_replace(strip_accents(F.coalesce(lemma, F.lit(""))), r"^[(\[]+|[)\]]+$", "")
     out = F.regexp_replace(out, r"^([\s\S]*\D)\d+$", "$1")
     return F.replace(F.replace(out, F.lit("ः"), F.lit("स्")), F.lit("ं"), F.lit("म्"))

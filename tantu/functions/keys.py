@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tantu.functions.translit import dev_to_iast, has_devanagari, iast_to_dev, slp1_key, slp1_key_for
+from tantu.functions.translit import dev_to_iast, has_devanagari, iast_to_dev, slp1_key, slp1_key_for, strip
 
 VALID = "^[a-z~]+$"
 # What counts as punctuation in a displayed token.
@@ -54,21 +54,21 @@ def surface_key_trusted(form: Column, key: Column) -> Column:
 
 def hyphen_members(form: Column) -> Column:
     """The members of a hyphenated form, none for a plain one."""
-    parts = F.filter(F.transform(F.split(form, "-"), lambda s: F.trim(s)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(form, "-"), lambda s: strip(s)), lambda p: p != "")
     return F.when(form.contains("-"), parts).otherwise(F.array().cast("array<string>"))
 
 
 def form_keys(form: Column) -> Column:
     """Keys of a form and of its hyphen members, in order."""
-    forms = F.concat(F.array(F.trim(form)), hyphen_members(form))
+    forms = F.concat(F.array(strip(form)), hyphen_members(form))
     return F.array_distinct(F.flatten(F.transform(F.filter(forms, lambda f: f != ""), canonical_keys)))
 
 
 def variant_keys(field: Column) -> Column:
     """Keys of a field with variants (; or ,), wrapping marks gone, each with its hyphen members."""
-    trimmed = F.transform(F.split(field, "[;,]"), lambda v: F.regexp_replace(F.trim(v), "^[()«»\"'“”]+|[()«»\"'“”]+$", ""))
+    trimmed = F.transform(F.split(field, "[;,]"), lambda v: F.regexp_replace(strip(v), "^[()«»\"'“”]+|[()«»\"'“”]+$", ""))
     forms = F.flatten(F.transform(trimmed, lambda v: F.concat(F.array(v), hyphen_members(v))))
-    return valid_keys(F.transform(F.transform(forms, lambda s: F.trim(s)), slp1_key))
+    return valid_keys(F.transform(F.transform(forms, lambda s: strip(s)), slp1_key))
 
 
 def row_keys(sandhied: Column, word: Column, context: Column) -> Column:
@@ -80,7 +80,7 @@ def row_keys(sandhied: Column, word: Column, context: Column) -> Column:
 
 def normalize_lemma(lemma: Column) -> Column:
     """A lemma for dictionary lookup: without outer brackets and hyphens, homonym number and joiners."""
-    out = F.regexp_replace(F.trim(F.coalesce(lemma, F.lit(""))), r"^[(\[]+|[)\]]+$", "")
+    out = F.regexp_replace(strip(F.coalesce(lemma, F.lit(""))), r"^[(\[]+|[)\]]+$", "")
     out = F.regexp_replace(out, "^-+|-+$", "")
     out = F.regexp_replace(out, r"^([\s\S]*\D)\d+$", "$1")
     return F.translate(out, "‌‍", "")

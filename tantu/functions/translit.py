@@ -33,6 +33,11 @@ def _split_table(table: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]
     return single, rest
 
 
+def strip(col: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def has_devanagari(col: Column) -> Column:
     return col.rlike(DEVANAGARI)
 
