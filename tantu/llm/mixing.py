@@ -62,29 +62,34 @@ def thresholds(tokens: DataFrame, parts: dict[str, float]) -> dict[str, int]:
     """source -> place on the ring below which the records hold its part of tokens, or fall short of it by one record.
 
     tokens: source, place (0 to 2^60), n_tokens. Each level sums tokens by section of what is still undecided, which is
-    the whole ring first and one section of a source then; a level brings at most 1024 sums a source to the driver.
+    the whole ring first and one section of a source then; a level brings at most 1024 sums a source to the driver. A
+    source is decided as soon as the section where its budget ends holds a single record, or after the last level.
     """
     spark = tokens.sparkSession
     state = {s: (0, part) for s, part in parts.items()}  # start of the undecided section, tokens still wanted
+    decided: dict[str, int] = {}
     for level in range(1, LEVELS + 1):
         shift = LEVEL_BITS * (LEVELS - level)
         if not state:
             break
         frame = spark.createDataFrame([(s, start >> (shift + LEVEL_BITS)) for s, (start, _) in state.items()], "source string, above long")
         inside = tokens.join(F.broadcast(frame), "source").where(F.shiftright("place", shift + LEVEL_BITS) == F.col("above"))
-        sums = inside.groupBy("source", F.shiftright("place", shift).alias("section")).agg(F.sum("n_tokens").alias("n")).collect()
-        by_source: dict[str, list[tuple[int, int]]] = {}
+        sums = inside.groupBy("source", F.shiftright("place", shift).alias("section")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
+        by_source: dict[str, list[tuple[int, int, int]]] = {}
         for r in sums:
-            by_source.setdefault(r.source, []).append((r.section, r.n))
+            by_source.setdefault(r.source, []).append((r.section, r.n, r.k))
         for source, (start, wanted) in list(state.items()):
-            for section, n in sorted(by_source.get(source, [])):
+            for section, n, k in sorted(by_source.get(source, [])):
                 if n > wanted:
                     state[source] = (section << shift, wanted)
+                    if k == 1:
+                        decided[source] = state.pop(source)[0]
                     break
                 wanted -= n
             else:  # all of the undecided section fits
-                state[source] = (start + (1 << (shift + LEVEL_BITS)), wanted)
-    return {s: start for s, (start, _) in state.items()}
+                decided[source] = start + (1 << (shift + LEVEL_BITS))
+                del state[source]
+    return decided | {s: start for s, (start, _) in state.items()}
 
 
 def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY, seed: int = 9) -> tuple[DataFrame, DataFrame]:
