@@ -173,3 +173,32 @@ def feature_abbr(value: Column) -> Column:
     """Short names of a feature value, each part of a slash-separated one by itself."""
     parts = F.transform(F.split(F.trim(value), "/"), lambda s: F.trim(s))
     return F.array_join(F.transform(parts, lambda p: F.coalesce(_map(FEATURE_ABBR)[F.lower(p)], p)), "/")
+
+
+def roman_initial(word: Column) -> Column:
+    """First letter a to z of a word in lower case, null without one."""
+    return F.nullif(F.regexp_extract(F.lower(word), "[a-z]", 0), F.lit(""))
+
+
+def pos_label(cls: Column) -> Column:
+    """Name of a class of readings."""
+    return F.coalesce(_map({"indecl": "indeclinable", "noun": "noun", "verb": "verb", "part": "participle"})[cls], F.lit("other"))
+
+
+def feature_segments(f: Column) -> Column:
+    """Tags of a string in its segments (divided by a middle dot), one array for each segment."""
+    segments = F.filter(F.split(F.coalesce(f, F.lit("")), " · "), lambda s: F.trim(s) != "")
+    return F.transform(segments, lambda s: F.filter(F.split(s, r"[;\s|]+"), lambda t: t != ""))
+
+
+def speaker_run(words: Column, names: Column, most: int = 2) -> Column:
+    """How many words at the start of a unit are speakers: names in title or upper case, ``most`` at most."""
+    head = F.slice(words, 1, most)
+    is_speaker = lambda w: F.coalesce(w.rlike(r"^(?:\p{Lu}\p{Ll}+|\p{Lu}+)[.:]?$") & F.array_contains(names, F.lower(F.regexp_replace(w, "[.:]$", ""))), F.lit(False))
+    flags = F.transform(head, is_speaker)
+    return F.aggregate(flags, F.lit(0), lambda n, s: F.when((n >= 0) & s, n + 1).when(n >= 0, -n - 1).otherwise(n), lambda n: F.when(n < 0, -n - 1).otherwise(n))
+
+
+def default_layer(stored: Column, has_en: Column, has_zh: Column) -> Column:
+    """The translation shown first: the stored choice if it is one, else English if there is one, else Chinese."""
+    return F.when(stored.isin("en", "zh", "off"), stored).when(has_en, F.lit("en")).when(has_zh, F.lit("zh")).otherwise(F.lit("off"))

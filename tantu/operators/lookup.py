@@ -166,3 +166,57 @@ def resolve_work(queries: DataFrame, works: DataFrame) -> DataFrame:
 
 def any_key(col: Column) -> Column:
     return slp1_key(col)
+
+
+def member_glosses(lemmas: DataFrame, gloss: DataFrame) -> DataFrame:
+    """(lemma, g): gloss of a compound member's lemma by its dictionary keys, else by its own key or a sibilant variant."""
+    filled = gloss.where("g is not null and g <> ''")
+    asked = lemmas.select("lemma").where("lemma is not null").distinct().where(F.length(slp1_key_for(F.col("lemma"))) >= 2)
+    by_keys = glosses(asked, filled).select("lemma", F.lit(0).alias("tier"), "g")
+    own = tries(asked, key_variants(slp1_key_for(F.col("lemma"))), "no", "key").where(F.col("key").rlike("^[a-z]")).join(filled.select("key", "g"), "key")
+    return first_by(by_keys.unionByName(own.select("lemma", (F.col("no") + 1).alias("tier"), "g")), ["lemma"], ["tier", "g"]).select("lemma", "g")
+
+
+def source_glosses(parses: DataFrame, gloss: DataFrame, ids: list[str]) -> DataFrame:
+    """parses (ids, l, g) with ``source_gloss``: their own gloss if it says something, else an entry's, by headword or by key."""
+    from tantu.functions.gloss import compact_gloss
+
+    said = gloss.where("g is not null and g <> ''")
+    by_head = first_by(said.select(F.col("u").alias("l"), F.col("g").alias("g1")), ["l"], ["g1"])
+    by_plain = first_by(said.select(F.col("u").alias("pl"), F.col("g").alias("g2")), ["pl"], ["g2"])
+    by_key = first_by(said.select(F.col("key").alias("lk"), F.col("g").alias("g3")), ["lk"], ["g3"])
+    rows = parses.select(*ids, "l", "g", strip_accents(F.col("l")).alias("pl"), slp1_key_for(F.col("l")).alias("lk"))
+    joined = rows.join(by_head, "l", "left").join(by_plain, "pl", "left").join(by_key, "lk", "left")
+    own = F.when(compact_gloss(F.col("g")).isNotNull(), F.col("g"))
+    return joined.select(*ids, "l", F.coalesce(own, "g1", "g2", "g3").alias("source_gloss"))
+
+
+def token_entries(token_lemmas: DataFrame, gloss: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, u, g): dictionary entries of a token's lemmas (ids, lemma, ord), each headword once, in order of first sight."""
+    found = token_lemmas.join(glosses(token_lemmas.select("lemma").distinct(), gloss).select("lemma", "u", "g"), "lemma")
+    return first_by(found.select(*ids, "u", "g", "ord"), [*ids, "u"], ["ord", "g"]).select(*ids, "u", "g")
+
+
+def origin_samples(index: DataFrame, origins: DataFrame, most: int = 3) -> DataFrame:
+    """(origin, form, key): for each source the first forms whose key it contributed first (origins: key, origin)."""
+    joined = index.select("form", "key").join(origins.select("key", "origin"), "key")
+    rank = F.row_number().over(Window.partitionBy("origin").orderBy("form"))
+    return joined.withColumn("__r", rank).where(F.col("__r") <= most).select("origin", "form", "key")
+
+
+def folded_analyses(forms: DataFrame, by_work: DataFrame, overall: DataFrame, morph: DataFrame) -> DataFrame:
+    """Analyses of roman forms whose keys need no trust: by the work's slice, then overall, else the folded form itself.
+
+    Published under the form, its plain folded spelling and its folded spelling, where these are not forms of their own.
+    forms: work_id, form. Columns: work_id, form, key, ord_no, l, p, f.
+    """
+    from tantu.functions.keys import fold_niggahita
+
+    keyed = forms.select("work_id", "form").distinct().join(member_keys(forms, by_work, overall), ["work_id", "form"], "left")
+    keyed = keyed.withColumn("key", F.coalesce("key", slp1_key_for(fold_niggahita(F.col("form")))))
+    found = keyed.join(morph.select(F.col("slp_key").alias("key"), "ord_no", "l", "p", "f"), "key").select("work_id", "form", "key", "ord_no", "l", "p", "f")
+    folded = fold_niggahita(F.lower("form"))
+    names = found.select("*", F.explode(F.array_distinct(F.array(F.col("form"), strip_accents(folded), folded))).alias("name"))
+    own = forms.select("work_id", F.col("form").alias("name")).distinct().withColumn("__own", F.lit(True))
+    kept = names.join(own, ["work_id", "name"], "left").where(F.col("__own").isNull() | (F.col("name") == F.col("form")))
+    return kept.select("work_id", F.col("name").alias("form"), "key", "ord_no", "l", "p", "f").distinct()

@@ -651,3 +651,58 @@ SQL["morph_shards"] = f"""with a as (select distinct * from analysis_rows), t as
  w as (select row_id, form from v union select row_id, trim(p) from (select row_id, unnest(string_split(form, '-')) as p from v where contains(form, '-'))), k as (select distinct row_id, {duck.slp1_key('form')} as key from w), vk as (select * from k where regexp_matches(key, '^[a-z~]+$')),
  r as ({SQL['analysis_readings']}), s as (select key, l, p, f, min({{a: vk.row_id, b: pos}}) as place from vk join r on vk.row_id = r.row_id group by all)
  select key[1:1] as letter, key, (row_number() over (partition by key order by place) - 1)::int as ord, l, p, f from s where regexp_matches(key, '^[a-z]')"""
+
+
+@query(f"""with {_PARSES}, h as (select u as l, min(g) as g1 from headwords where g <> '' group by 1), k as (select {duck.slp1_key_for('u')} as lk, min(g) as g3 from headwords where g <> '' and u <> '' group by 1)
+ select entry_id, e.l, coalesce(e.g, h.g1, k.g3) as source_gloss from e left join h on e.l = h.l left join k on {duck.slp1_key_for('e.l')} = k.lk""")
+def source_glosses(t):
+    e = t("morph_entries").where("slp_key is not null").dropDuplicates(["entry_id"])
+    return lookup.source_glosses(e, lookup.gloss_table(t("headwords")), ["entry_id"])
+
+
+@query()
+def member_glosses(t):
+    lemmas = t("morph_entries").select(F.explode("m.l").alias("lemma")).where("lemma <> ''")
+    return lookup.member_glosses(lemmas, lookup.gloss_table(t("headwords")))
+
+
+@query()
+def parse_group_entries(t):
+    """Dictionary entries of the lemmas of each parse group's members, each headword once."""
+    rows = t("parse_groups").select("group_id", F.posexplode("members.l").alias("ord", "lemma")).where("lemma <> ''").distinct()
+    return lookup.token_entries(rows, lookup.gloss_table(t("headwords")), ["group_id"])
+
+
+@query(f"""with {_INDEX}, o as (select key, arg_min(origin, {{a: built_at, b: entry_id}}) as origin from (select slp_key as key, strftime(built_at, '%Y-%m') as origin, built_at, entry_id from morph_entries where slp_key is not null and built_at is not null) group by key)
+ select origin, form, key from idx join o using (key) qualify row_number() over (partition by origin order by form) <= 3""")
+def origin_samples(t):
+    e = t("morph_entries").where("slp_key is not null and built_at is not null")
+    origins = ordered.first_by(e.select(F.col("slp_key").alias("key"), "built_at", "entry_id"), ["key"], ["built_at", "entry_id"]).select("key", F.date_format("built_at", "yyyy-MM").alias("origin"))
+    return lookup.origin_samples(_index(t), origins)
+
+
+@query()
+def folded_analyses(t):
+    """Analyses of the roman forms of the units, without the gate of trust."""
+    tokens_ = reading.tokens(t("work_units")).where(~translit.has_devanagari(F.col("form")))
+    index = _index(t)
+    return lookup.folded_analyses(tokens_, lookup.work_slices(tokens_, index), index, t("morph_entries").dropDuplicates(["entry_id"]))
+
+
+@query(f"""select distinct mw_id, u, nullif(regexp_extract(lower(u), '[a-z]'), '') as initial from mw_entries""")
+def roman_initials(t):
+    return t("mw_entries").select("mw_id", "u", misc.roman_initial(F.col("u")).alias("initial")).distinct()
+
+
+@query("""select distinct file_id, case when alignment in ('en', 'zh', 'off') then alignment when lang = 'en' then 'en' when lang = 'zh' then 'zh' else 'off' end as layer from trans_files""")
+def default_layers(t):
+    f = t("trans_files").select("file_id", "lang", "alignment").distinct()
+    return f.select("file_id", misc.default_layer(F.col("alignment"), F.col("lang") == "en", F.col("lang") == "zh").alias("layer")).distinct()
+
+
+@query()
+def parse_views(t):
+    """Parses as they are shown: lemma, features, short sense of their source gloss, whether they are a name."""
+    e = t("morph_entries").where("slp_key is not null").dropDuplicates(["entry_id"])
+    glossed = lookup.source_glosses(e, lookup.gloss_table(t("headwords")), ["entry_id"]).select("entry_id", "source_gloss")
+    return e.join(glossed, "entry_id").select("entry_id", gloss.view_model(F.col("l"), F.col("p"), F.col("f"), F.col("source_gloss")).alias("v")).select("entry_id", "v.*")

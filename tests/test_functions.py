@@ -176,3 +176,14 @@ def test_small_maps(spark):
 @pytest.mark.parametrize("n", [0, 3])
 def test_frequency_term(n):
     assert math.isclose(10 * math.log2(1 + n), {0: 0.0, 3: 20.0}[n])
+
+
+def test_labels_segments_runs_and_layers(spark):
+    assert one(spark, ["Atman", "कxY", "", None], misc.roman_initial) == ["a", "x", None, None]
+    assert one(spark, ["noun", "x"], misc.pos_label) == ["noun", "other"]
+    assert one(spark, ["a;b · c d", "", None], misc.feature_segments) == [[["a", "b"], ["c", "d"]], [], []]
+    names = F.array(F.lit("ion"), F.lit("crito"))
+    assert one(spark, [["Ion", "CRITO.", "Ion"], ["ion"], ["Ion", "says"], ["He", "Ion"], []], lambda w: misc.speaker_run(w, names), "x array<string>") == [2, 0, 1, 0, 0]
+    assert one(spark, ["zh", None, "odd"], lambda s: misc.default_layer(s, F.lit(False), F.lit(True))) == ["zh", "zh", "zh"]
+    got = one(spark, ["N. of a king; x"], lambda g: gloss.view_model(F.lit("l"), F.lit("noun"), F.lit(None).cast("string"), g))[0]
+    assert (got.lemma, got.features, got.sense, got.is_name) == ("l", "", "of a king", True)
