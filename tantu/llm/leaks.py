@@ -2,8 +2,9 @@
 
 Texts are compared by their letters and digits alone, without case, accents, punctuation, spacing and look-alikes. The
 n-grams of all items (a held-out set of proven size) are searched in every document at once by an Aho-Corasick automaton.
-Their document frequencies tell which are rare: every window of an item that could be found is covered by its rarest
-n-gram, so no leak is lost however common the rest of it is. Documents that hold such a seed are aligned with the item.
+For whole runs their document frequencies tell which are rare: every window of an item that could be found is covered by
+its rarest n-gram, so no run is lost however common the rest of it is. An edited copy may hold only common n-grams: for
+alignments every n-gram is a seed. Documents that hold a seed are aligned with the item.
 """
 
 from __future__ import annotations
@@ -181,13 +182,18 @@ def seed_hits(documents: DataFrame, grams: dict[str, list[tuple[int, int]]]) ->
 
 
 def alignments(documents: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, item_id, score, equal, share, run): each document with each item of which it holds a rare seed.
+    """(doc_id, item_id, score, equal, share, run): each document with each item of which it holds an n-gram, rare or common.
 
+    A copy so edited that no GRAM consecutive words (HAN_GRAM Chinese characters) are left shares no n-gram and has no row.
     score and equal (words) belong to the best local alignment, share is equal by the item's words, run tells whether
     WORDS consecutive words (HAN Chinese characters) of the item stand there. Null and empty texts give no row, nor do
     items shorter than a run. Repeated documents or items give one row. Beyond ``limit`` n-grams the items are taken in
     parts, each with its own pass over the documents, and no part is left out.
     """
+    return _aligned(documents, items, limit, runs=False)
+
+
+def _aligned(documents: DataFrame, items: DataFrame, limit: int, runs: bool) -> DataFrame:
     spark = documents.sparkSession
     listed = sorted({(r.item_id, r.text, r.lang) for r in items.select("item_id", "text", "lang").where("text is not null").toLocalIterator()}, key=str)
     parts, size = [[]], 0
@@ -196,14 +202,19 @@ def alignments(documents: DataFrame, items: DataFrame, limit: int = LIMIT) -> Da
             parts, size = [*parts, []], 0
         parts[-1].append(item)
         size += len(item[1])
-    return reduce(DataFrame.union, [_part(spark, documents, part) for part in parts]).distinct()
+    return reduce(DataFrame.union, [_part(spark, documents, part, runs) for part in parts]).distinct()
 
 
-def _part(spark, documents: DataFrame, listed: list[tuple[int, str, str | None]]) -> DataFrame:
+def _part(spark, documents: DataFrame, listed: list[tuple[int, str, str | None]], runs: bool) -> DataFrame:
+    """Pairs of one part of the items. With ``runs`` only the rare seeds count: of the pairs without a run some are missing."""
     grams, held = item_grams(listed)
-    hits = written(spark, seed_hits(documents, grams), "hits")
-    df = {r.gram: r.n for r in hits.select("doc_id", F.explode("hits").alias("gram")).groupBy("gram").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    seeds = rare_seeds(grams, held, df)
+    hits = seed_hits(documents, grams)
+    if runs:
+        hits = written(spark, hits, "hits")
+        df = {r.gram: r.n for r in hits.select("doc_id", F.explode("hits").alias("gram")).groupBy("gram").agg(F.countDistinct("doc_id").alias("n")).collect()}
+        seeds = rare_seeds(grams, held, df)
+    else:
+        seeds = {gram: {ident for ident, _ in places} for gram, places in grams.items()}
     shared = spark.sparkContext.broadcast((seeds, held))
     pairs = hits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # few rows, much work
 
@@ -242,4 +253,4 @@ def _part(spark, documents: DataFrame, listed: list[tuple[int, str, str | None]]
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold a run of an item; its alignment scores at least what a run scores."""
-    return alignments(documents, items).where("run").select("doc_id", "item_id").distinct()
+    return _aligned(documents, items, LIMIT, runs=True).where("run").select("doc_id", "item_id").distinct()

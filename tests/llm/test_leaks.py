@@ -96,6 +96,16 @@ def test_an_edited_copy_scores_without_being_a_run(spark):
     assert [(r.run, r.equal) for r in found] == [(False, 25)]
 
 
+def test_an_edited_copy_beside_a_full_one_is_aligned(spark):
+    rng = random.Random(3)
+    w = sentence(rng, 30)
+    edited = [x if k % 7 else "changed" for k, x in enumerate(w)]
+    texts = [" ".join(edited), " ".join(w), " ".join(w), " ".join(sentence(rng, 60))]
+    found = leaks.alignments(documents(spark, texts), items(spark, [" ".join(w)])).collect()
+    assert sorted((r.doc_id, r.run, r.equal) for r in found) == [(0, False, 25), (1, True, 30), (2, True, 30)]
+    assert rows(leaks.leaked(documents(spark, texts), items(spark, [" ".join(w)]))) == {(1, 0), (2, 0)}
+
+
 def test_every_window_has_a_seed_and_rare_ones_win():
     grams, held = leaks.item_grams([(1, " ".join(f"w{k}" for k in range(14)), "en")])
     df = {g: 100 for g in grams}
