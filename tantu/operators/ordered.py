@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tantu.session import written
+
 
 def _struct(columns: list[str]) -> Column:
     return F.struct(*columns)
@@ -103,6 +105,20 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_by(df, keys, order)
 
 
+def ranked_overall(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """All rows numbered from 1 in one order: ranges of it are numbered apart, each from where the range before ends.
+
+    No task sees more than its range. Rows alike in all of ``order`` come in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(df.sparkSession, df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn("__at", within).join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "ord") -> DataFrame:
     """Rows of each key numbered from 0."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

@@ -63,8 +63,8 @@ def catalog_filter(t):
  from (select distinct work_id, title from documents where work_id is not null and title is not null) qualify place <= 200""")
 def natural_titles(t):
     d = t("documents").where("work_id is not null and title is not null").select("work_id", "title").distinct()
-    top = d.withColumn("k", misc.natural_key(F.col("title"))).orderBy("k", "work_id").limit(200)
-    return top.select("work_id", "title", F.row_number().over(Window.orderBy("k", "work_id")).alias("place"))
+    placed = ordered.ranked_overall(d.withColumn("k", misc.natural_key(F.col("title"))), ["k", "work_id", "title"])
+    return placed.select("work_id", "title", F.col("place").cast("int").alias("place"))
 
 
 SQL["natural_titles"] = """select work_id, title, row_number() over (order by array_to_string(list_transform(regexp_extract_all(lower(title), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d+$') then lpad(p, 20, '0') else p end), ''), work_id)::int as place

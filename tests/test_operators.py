@@ -52,6 +52,16 @@ def test_merge_is_ordered_and_idempotent(spark):
     assert rows(stats) == {("w1", 4, 2, 1)}
 
 
+def test_every_title_has_its_natural_place(spark, tmp_path):
+    from tantu.plans import corpus
+
+    titles = [(f"w{i % 7}", f"{'Book' if i % 2 else 'book'} {i * 37 % 450}") for i in range(450)] + [("w0", None), (None, "Book 1")]
+    spark.createDataFrame(titles * 2, "work_id string, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.work_id, r.title): r.place for r in corpus.QUERIES["natural_titles"](spark, str(tmp_path)).collect()}
+    want = sorted(titles[:450], key=lambda x: int(x[1].split()[1]))
+    assert got == {x: k for k, x in enumerate(want, 1)}
+
+
 def forms(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "form string")
 
