@@ -21,7 +21,8 @@ from tantu.session import written
 DELIMITERS = ";,/|、；／，｜\t "
 CHAR_BITS = 6.0
 STRAY_BITS = 12.0
-ALL_SUBSETS = 4  # kinds of delimiter in a text up to which every combination is a dialect
+ALL_SUBSETS = 4  # kinds of delimiter in a text up to which ``dialects`` gives every combination unless told otherwise
+FLUSH = 20_000  # parses after which a frame is handed on
 
 
 def split_outside(text: str, delimiters: str, quoting: bool = True) -> list[str]:
@@ -50,10 +51,10 @@ def split_outside(text: str, delimiters: str, quoting: bool = True) -> list[str]
     return values
 
 
-def dialects(text: str) -> Iterator[tuple[str, bool]]:
+def dialects(text: str, most: int = ALL_SUBSETS) -> Iterator[tuple[str, bool]]:
     """Candidate (delimiters, quoting) of a text: the combinations of the delimiters found outside braces and quotes.
 
-    Beyond ALL_SUBSETS kinds: none, each alone, each pair, and all. Quotes are plain characters where they don't pair up.
+    Beyond ``most`` kinds: none, each alone, each pair, and all. Quotes are plain characters where they don't pair up.
     """
     quoting = text.count('"') % 2 == 0
     bare = re.sub(r'"[^"]*"', "x", text) if quoting else text
@@ -62,22 +63,26 @@ def dialects(text: str) -> Iterator[tuple[str, bool]]:
     if "{" in bare:  # an open brace shields the rest
         bare = bare[: bare.index("{")]
     found = "".join(d for d in DELIMITERS if d in bare.strip())
-    sizes = range(len(found) + 1) if len(found) <= ALL_SUBSETS else (0, 1, 2, len(found))
+    sizes = range(len(found) + 1) if len(found) <= most else (0, 1, 2, len(found))
     for k in sizes:
         for some in itertools.combinations(found, k):
             yield "".join(some), quoting
 
 
 def candidate_parses(texts: DataFrame) -> DataFrame:
-    """(text, dialect, options, vals) for every candidate dialect of each row of ``texts`` (column text)."""
+    """(text, dialect, options, vals) for every dialect of each row of ``texts`` (column text), however many delimiters it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 if text is not None:
-                    found = list(dialects(text))
-                    rows += [(text, d, len(found), split_outside(text, d, q)) for d, q in found]
+                    found = list(dialects(text, len(DELIMITERS)))
+                    for d, q in found:
+                        rows.append((text, d, len(found), split_outside(text, d, q)))
+                        if len(rows) >= FLUSH:
+                            yield pd.DataFrame(rows, columns=["text", "dialect", "options", "vals"])
+                            rows = []
             yield pd.DataFrame(rows, columns=["text", "dialect", "options", "vals"])
 
     return texts.select("text").mapInPandas(run, "text string, dialect string, options int, vals array<string>")

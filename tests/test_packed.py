@@ -39,6 +39,14 @@ def test_mixed_delimiters_are_chosen_by_the_corpus(spark):
     assert rows(packed.unpack(table(spark, fields), ["id"], "f")) == want
 
 
+def test_every_combination_of_many_delimiters_is_a_candidate(spark):
+    wide = "a;b,c/d|e、f；g／h，i｜j\tk l"
+    found = packed.candidate_parses(spark.createDataFrame([("a/b;c,d|e f",), (wide,)], "text string")).collect()
+    assert ["a", "b", "c", "d", "e f"] in [r.vals for r in found if r.text != wide]
+    assert len({r.dialect for r in found if r.text != wide}) == 2**5
+    assert len({r.dialect for r in found if r.text == wide}) == 2 ** len(packed.DELIMITERS)
+
+
 def test_nulls_empty_long_and_repeated_fields(spark):
     long = ";".join(["पुं", "एक"] * 20_000)
     found = packed.unpack(table(spark, [None, "", "   ", ";;;", "a;b", long]), ["id"], "f")
