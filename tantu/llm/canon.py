@@ -83,6 +83,16 @@ def deletions(key: str, most: int = DISTANCE) -> set[str]:
     return found
 
 
+def search_keys(key: str, most: int = DISTANCE) -> set[str]:
+    """Keys under which a key is searched: its deletions, and the key without h and doubled letters.
+
+    Two edits reach one another by deletions. The only dearer way within 2.0 is three letters of 0.6 (an h or a doubled
+    letter), which leave the last key as it is.
+    """
+    bare = re.sub(r"(.)\1+", r"\1", key.replace("h", ""))
+    return deletions(key, most) | {bare}
+
+
 def edit_cost(a: str, b: str, most: float, plain: bool = True) -> float:
     """Weighted Damerau-Levenshtein: an edit or a swap of neighbours 1, a doubled letter or an h 0.6.
 
@@ -171,7 +181,7 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
     if headwords.limit(limit + 1).count() > limit:
         return _joined(open_values, entries, distance)
     listed = sorted((r.head_id, r.iast, r.u or "", r.n) for r in entries.collect())
-    longest = distance + max((len(k) for e in listed for k in entry_keys_of(e[2], e[1]).values()), default=0)
+    longest = distance + 1 + max((len(k) for e in listed for k in entry_keys_of(e[2], e[1]).values()), default=0)
     context = values.sparkSession.sparkContext
     held = context.broadcast(listed)
 
@@ -181,14 +191,14 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
         for ident, iast, u, n in held.value:
             entries_by_id.setdefault(ident, (u, iast))
             weights[ident] = n
-            for key in {k for e in entry_keys_of(u, iast).values() for k in deletions(e, distance)}:
+            for key in {k for e in entry_keys_of(u, iast).values() for k in search_keys(e, distance)}:
                 by_key.setdefault(key, []).append(ident)
         for batch in batches:
             out = []
             for value in batch["val"]:
                 near: set[int] = set()
                 for typed in {k for _, k, _ in keys_of(value) if len(k) <= longest}:  # a longer key is near to none
-                    for key in deletions(typed, distance):
+                    for key in search_keys(typed, distance):
                         near.update(by_key.get(key, ()))
                 out.append((value, *rank(value, {i: entries_by_id[i] for i in near}, weights)))
             yield pd.DataFrame(out, columns=["val", "head_id", "cost"])
@@ -199,16 +209,16 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
 
 
 def _joined(open_values: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
-    longest = distance + (entries.agg(F.max(F.greatest(F.length("iast"), F.length(F.coalesce("u", F.lit(""))))).alias("n")).first().n or 0)
+    longest = distance + 1 + (entries.agg(F.max(F.greatest(F.length("iast"), F.length(F.coalesce("u", F.lit(""))))).alias("n")).first().n or 0)
 
     def value_keys(batches):
         for batch in batches:
-            rows = [(v, k) for v in batch["val"] for k in {k for _, t, _ in keys_of(v) if len(t) <= longest for k in deletions(t, distance)}]
+            rows = [(v, k) for v in batch["val"] for k in {k for _, t, _ in keys_of(v) if len(t) <= longest for k in search_keys(t, distance)}]
             yield pd.DataFrame(rows, columns=["val", "key"])
 
     def entry_keys(batches):
         for batch in batches:
-            rows = [(i, u, t, n, k) for i, u, t, n in batch.itertuples(index=False) for k in {k for e in entry_keys_of(u, t).values() for k in deletions(e, distance)}]
+            rows = [(i, u, t, n, k) for i, u, t, n in batch.itertuples(index=False) for k in {k for e in entry_keys_of(u, t).values() for k in search_keys(e, distance)}]
             yield pd.DataFrame(rows, columns=["head_id", "u", "iast", "n", "key"])
 
     def costs(batches):

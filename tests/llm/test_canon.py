@@ -53,6 +53,21 @@ def test_deletions_reach_every_pair_within_the_distance():
             assert canon.edit_cost(a, b, 2.0) <= 2.0
 
 
+def test_three_cheap_letters_are_reached(spark):
+    rng = random.Random(5)
+    for _ in range(1500):
+        a = b = "".join(rng.choice("abth") for _ in range(rng.randint(6, 9)))
+        for _ in range(3):
+            at = rng.randrange(len(b))
+            b = b[: at + 1] + rng.choice([b[at], "h"]) + b[at + 1 :]
+        if canon.edit_cost(a, b, 2.0) <= 2.0:
+            assert canon.search_keys(a) & canon.search_keys(b)
+    heads = spark.createDataFrame([(1, None, "budikta", 0, "", 0.0), (2, None, "katvamasya", 0, "", 0.0)], HEAD)
+    want = {("bhudhikhta", 1), ("kattvammassya", 2)}
+    for limit in (10, 1):
+        assert rows(canon.meant(values(spark, ["bhudhikhta", "kattvammassya"]), heads, limit=limit).select("val", "head_id")) == want
+
+
 def test_core_takes_notes_off():
     for typed in ("ālīdīru", "ālīdīru¹", "√ālīdīru", "1. ālīdīru", "ālīdīru, m.", "ālīdīru (adj.)", "(ālīdīru) 2", "„ālīdīru“", "ālīdīru [sic]", "-ālīdīru", "*ālīdīru ?", "ālīdīru°", "ā​līdīru", "ālīdīru."):
         assert canon.core(typed) == "ālīdīru", typed
