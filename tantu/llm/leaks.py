@@ -1,10 +1,11 @@
 """Evaluation items that stand, wholly or in part, in corpus documents: rare n-gram seeds, then local alignment.
 
-Texts are compared by their letters and digits alone, without case, accents, punctuation, spacing and look-alikes. The
-n-grams of all items (a held-out set of proven size) are searched in every document at once by an Aho-Corasick automaton.
-For whole runs their document frequencies tell which are rare: every window of an item that could be found is covered by
-its rarest n-gram, so no run is lost however common the rest of it is. An edited copy may hold only common n-grams: for
-alignments every n-gram is a seed. Documents that hold a seed are aligned with the item.
+Texts are compared by their letters and digits alone, without case, accents, punctuation, spacing and look-alikes. Both
+sides give hashed n-grams of those letters; documents keep only those that pass a Bloom bitmap of the items' n-grams, and
+a join on the hash finds who shares what. How many documents hold an n-gram tells which are rare: the rarest of every
+window of an item that is as long as a leak is a seed, so no whole run is lost however common the rest of it is, and for
+alignments every n-gram held by few documents is one, too. Documents that share a seed with an item are aligned with it
+(Smith-Waterman over words); the score decides, and for whole runs an exact check of the run follows.
 """
 
 from __future__ import annotations
@@ -12,19 +13,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tantu.functions.lookalike import IGNORABLE, LETTERS, SEQUENCES
 from tantu.session import written
 
-LIMIT = 200_000  # n-grams of items up to which they are broadcast
-WORDS, GRAM = 10, 5  # a leak's consecutive words, a seed's
-HAN, HAN_GRAM = 16, 8  # the same in Chinese characters
+WORDS, HAN = 10, 16  # a leak's consecutive words, and Chinese characters
+GRAM, HAN_GRAM = 20, 8  # letters of an n-gram, and Chinese characters; shorter where an item's shortest window is
+EDITED_GRAM = 10  # letters of an n-gram where edited copies are wanted as well: two or three words
+RARE = 0.01  # share of the documents up to which an n-gram is rare
+SHARE = 0.5  # share of an item's words that an edited copy must hold in alignment
+MOST_BITS = 1 << 27  # of the Bloom bitmap (16 MB); more n-grams only let more through to the join
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _ODD = re.compile("[" + "".join(LETTERS) + "अआओऔऐए" + IGNORABLE + "]")
@@ -67,38 +70,6 @@ def is_han(text: str, lang: str | None) -> bool:
     return lang == "zh" or lang is None and len(_HAN.findall(plain)) * 2 > len(plain) > 0
 
 
-def item_grams(items: list[tuple[int, str, str | None]]) -> tuple[dict[str, list[tuple[int, int]]], dict[int, tuple[list[str], int, int]]]:
-    """n-gram -> (item, position), and item -> (words, length of a leak, length of a seed)."""
-    grams: dict[str, list[tuple[int, int]]] = {}
-    held = {}
-    for ident, text, lang in items:
-        han = is_han(text, lang)
-        tokens = [c for w in words(text) for c in w] if han else words(text)
-        least, n = (HAN, HAN_GRAM) if han else (WORDS, GRAM)
-        held[ident] = tokens, least, n
-        if len(tokens) >= least:
-            for k in range(len(tokens) - n + 1):
-                grams.setdefault("".join(tokens[k : k + n]), []).append((ident, k))
-    return grams, held
-
-
-def rare_seeds(grams: dict[str, list[tuple[int, int]]], held: dict, df: dict[str, int]) -> dict[str, set[int]]:
-    """The seeds: for every window of an item that is as long as a leak, its rarest n-gram that occurs at all -> items.
-
-    Of equally rare ones the first. A window that stands in some document has only n-grams that occur, so its seed is among
-    that document's hits; a window none of whose n-grams occurs needs no seed.
-    """
-    at = {(ident, k): g for g, places in grams.items() for ident, k in places}
-    seeds: dict[str, set[int]] = {}
-    for ident, (tokens, least, n) in held.items():
-        for start in range(len(tokens) - least + 1):
-            inner = [at[ident, k] for k in range(start, start + least - n + 1)]
-            known = [g for g in inner if df.get(g, 0)]
-            if known:
-                seeds.setdefault(min(known, key=lambda g: (df[g], known.index(g))), set()).add(ident)
-    return seeds
-
-
 def align(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
     """Smith-Waterman over words: (score, equal words of the best local alignment, its end in a, its end in b)."""
     if not a or not b:
@@ -157,100 +128,204 @@ def holds_run(text: str, tokens: list[str], least: int, han: bool) -> bool:
     return False
 
 
-def seed_hits(documents: DataFrame, grams: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """(doc_id, text, hits): documents that hold any n-gram of the items, with the distinct n-grams and their places."""
-    context = documents.sparkSession.sparkContext
-    held = context.broadcast(sorted(grams))
+def item_tokens(text: str, lang: str | None) -> tuple[list[str], int, int]:
+    """(words, words of a leak, letters of an n-gram) of an item; of a Chinese one its characters are the words."""
+    if is_han(text, lang):
+        return [c for w in words(text) for c in w], HAN, HAN_GRAM
+    return words(text), WORDS, GRAM
+
+
+def gram_hashes(plain: str, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n characters, by its place."""
+    codes = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    if len(codes) < n:
+        return np.zeros(0, np.int64)
+    # hashes of runs of 1, 2, 4 .. characters make up those of n: one multiplication for each doubling
+    base, out, done, power, run = 0x9E3779B97F4A7C15, None, 0, codes, 1
+    while run <= n:
+        if n & run:
+            held = len(codes) - n + 1
+            part = power[done : done + held]
+            out = part if out is None else out * np.uint64(pow(base, run, 1 << 64)) + part
+            done += run
+        if run * 2 <= n:
+            power = power[: len(power) - run] * np.uint64(pow(base, run, 1 << 64)) + power[run:]
+        run *= 2
+    out = out + np.uint64(n)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+def item_windows(items: DataFrame, gram: int) -> DataFrame:
+    """(item, window, at, gram): the n-grams of every window of an item that is as long as a leak, with their places."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+        for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 4]
+            for item, text, lang in batch.itertuples(index=False):
+                tokens, least, n = item_tokens(text, lang)
+                n = n if n == HAN_GRAM else gram
+                hashes = gram_hashes("".join(tokens), n)
+                starts = np.cumsum([0, *map(len, tokens)])
+                for w in range(len(tokens) - least + 1):
+                    at = np.arange(starts[w], max(starts[w] + 1, starts[w + least] - n + 1))
+                    at = at[at < len(hashes)]
+                    found.append((np.full(len(at), item), np.full(len(at), w), at, hashes[at]))
+            yield pd.DataFrame(dict(zip(("item", "window", "at", "gram"), map(np.concatenate, zip(*found)))))
+
+    return items.select("item", "text", "lang").mapInPandas(run, "item long, window int, at int, gram long")
 
-        machine = ahocorasick.Automaton()
-        for gram in held.value:
-            machine.add_word(gram, gram)
-        if held.value:
-            machine.make_automaton()
+
+def shortest_window(items: DataFrame, most: int = GRAM) -> int:
+    """Letters of the shortest run of WORDS words in the items that are not Chinese, ``most`` at most and 4 at least."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for ident, text in batch.itertuples(index=False):
-                hits = sorted({g for _, g in machine.iter(letters(text))}) if held.value else []
-                if hits:
-                    out.append((ident, text, hits))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "hits"])
+            found = [most]
+            for text, lang in batch.itertuples(index=False):
+                tokens, least, n = item_tokens(text, lang)
+                if n != HAN_GRAM:
+                    ends = np.cumsum([0, *map(len, tokens)])
+                    found += [int(x) for x in ends[least:] - ends[:-least]]
+            yield pd.DataFrame({"n": [min(found)]})
 
-    return documents.where("text is not null and text <> ''").select("doc_id", "text").mapInPandas(run, "doc_id long, text string, hits array<string>")
+    return max(4, items.select("text", "lang").mapInPandas(run, "n int").agg(F.min("n")).first()[0] or most)
 
 
-def alignments(documents: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, item_id, score, equal, share, run): each document with each item of which it holds an n-gram, rare or common.
+def gram_bitmap(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """(bitmap, bits) of the column gram: 16 bits an n-gram, MOST_BITS at most; its words are gathered, never the n-grams."""
+    n = grams.agg(F.approx_count_distinct("gram")).first()[0]
+    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+    spot = F.col("gram").bitwiseAND(F.lit(bits - 1))
+    words_ = grams.select(F.shiftright(spot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(31)).cast("int")).alias("bit"))
+    rows = words_.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # bits / 32 rows at most
+    table = np.zeros(bits // 32, np.uint32)
+    table[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).astype(np.uint32)
+    return table, bits
 
-    A copy so edited that no GRAM consecutive words (HAN_GRAM Chinese characters) are left shares no n-gram and has no row.
-    score and equal (words) belong to the best local alignment, share is equal by the item's words, run tells whether
-    WORDS consecutive words (HAN Chinese characters) of the item stand there. Null and empty texts give no row, nor do
-    items shorter than a run. Repeated documents or items give one row. Beyond ``limit`` n-grams the items are taken in
-    parts, each with its own pass over the documents, and no part is left out.
-    """
-    return _aligned(documents, items, limit, runs=False)
 
+def document_grams(documents: DataFrame, bitmap: np.ndarray, bits: int, gram: int) -> DataFrame:
+    """(doc_id, gram): the distinct n-grams of each document that the bitmap lets through."""
+    held = documents.sparkSession.sparkContext.broadcast(bitmap)
 
-def _aligned(documents: DataFrame, items: DataFrame, limit: int, runs: bool) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, mask = held.value, np.int64(bits - 1)
+        for batch in batches:
+            idents, sizes, found = [], [], []
+            for ident, text in batch.itertuples(index=False):
+                plain = letters(text)
+                hashes = gram_hashes(plain, gram)
+                if not plain.isascii() and _HAN.search(plain):
+                    hashes = np.concatenate([hashes, gram_hashes(plain, HAN_GRAM)])
+                spot = hashes & mask
+                hits = hashes[(table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)]
+                if len(hits):
+                    hits = np.unique(hits)
+                    idents.append(ident)
+                    sizes.append(len(hits))
+                    found.append(hits)
+            yield pd.DataFrame({"doc_id": np.repeat(np.array(idents, np.int64), sizes), "gram": np.concatenate(found) if found else np.zeros(0, np.int64)})
+
+    return documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text").mapInPandas(run, "doc_id long, gram long")
+
+
+def seeded_pairs(documents: DataFrame, items: DataFrame, gram: int, runs: bool, rare: float = RARE) -> DataFrame:
+    """(doc_id, item, grams): documents and items that share a seed, with the hashes of the n-grams that they share.
+
+    The rarest n-gram of every window is a seed (of equally rare ones the first): a window that stands in some document
+    has only n-grams that occur, so its seed is among that document's. For ``runs`` nothing else is. Otherwise every
+    n-gram in at most ``rare`` of the documents is a seed as well, and of common ones two that stand apart in the item.
+    """
     spark = documents.sparkSession
-    listed = sorted({(r.item_id, r.text, r.lang) for r in items.select("item_id", "text", "lang").where("text is not null").toLocalIterator()}, key=str)
-    parts, size = [[]], 0
-    for item in listed:
-        if size > limit:
-            parts, size = [*parts, []], 0
-        parts[-1].append(item)
-        size += len(item[1])
-    return reduce(DataFrame.union, [_part(spark, documents, part, runs) for part in parts]).distinct()
-
-
-def _part(spark, documents: DataFrame, listed: list[tuple[int, str, str | None]], runs: bool) -> DataFrame:
-    """Pairs of one part of the items. With ``runs`` only the rare seeds count: of the pairs without a run some are missing."""
-    grams, held = item_grams(listed)
-    hits = seed_hits(documents, grams)
+    windows = written(spark, item_windows(items, gram), "windows")
+    hits = written(spark, document_grams(documents, *gram_bitmap(windows), gram), "hits")
+    places = windows.select("item", "at", "gram").distinct()
+    held = hits.join(windows.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.countDistinct("doc_id").alias("df"))
+    first = windows.join(held, "gram").groupBy("item", "window").agg(F.min(F.struct("df", "at", "gram")).alias("s"))
+    seeds = first.select("item", F.col("s.gram").alias("gram")).distinct()
     if runs:
-        hits = written(spark, hits, "hits")
-        df = {r.gram: r.n for r in hits.select("doc_id", F.explode("hits").alias("gram")).groupBy("gram").agg(F.countDistinct("doc_id").alias("n")).collect()}
-        seeds = rare_seeds(grams, held, df)
-    else:
-        seeds = {gram: {ident for ident, _ in places} for gram, places in grams.items()}
-    shared = spark.sparkContext.broadcast((seeds, held))
-    pairs = hits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # few rows, much work
+        return hits.join(seeds, "gram").groupBy("doc_id", "item").agg(F.collect_set("gram").alias("grams"))
+    few = F.greatest(F.lit(1.0), documents.agg((F.count("*") * rare).alias("n")).scalar())
+    marked = places.join(held, "gram").join(seeds.withColumn("seed", F.lit(True)), ["item", "gram"], "left")
+    marked = marked.select("item", "at", "gram", (F.coalesce("seed", F.lit(False)) | (F.col("df") <= few)).alias("seed"))
+    pairs = hits.join(marked, "gram").groupBy("doc_id", "item").agg(F.max("seed").alias("seed"), (F.max("at") - F.min("at")).alias("apart"), F.collect_set("gram").alias("grams"))
+    return pairs.where(F.col("seed") | (F.col("apart") >= gram)).select("doc_id", "item", "grams")
+
+
+def passage_alignment(tokens: list[str], own: list[str], spots: list[int]) -> tuple[int, int]:
+    """(score, equal words) of the best alignment of an item's words with the passages around places (words) of a text."""
+    reach, until, best = 2 * len(tokens), -1, (0, 0)
+    for word in spots:
+        if word < until:  # within the passage aligned before
+            continue
+        until = word + reach
+        score, equal, _, _ = align(tokens, own[max(0, word - reach) : until + reach])
+        best = max(best, (score, equal))
+    return best
+
+
+def longest_true(flags: np.ndarray, least: int) -> int | None:
+    """Where the longest run of true flags begins, if it has ``least`` of them."""
+    edges = np.flatnonzero(np.diff(np.r_[False, flags, False]))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    return int(starts[sizes.argmax()]) if len(sizes) and sizes.max() >= least else None
+
+
+def alignments(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, score, equal, share, run): whole runs and edited copies of items in documents.
+
+    score and equal (words) belong to the best local alignment, share is equal by the item's words; run tells whether
+    WORDS consecutive words (HAN Chinese characters) of the item stand there. A pair comes out with a run or a share of
+    ``share`` at least. A copy so edited that no n-gram of EDITED_GRAM letters is left has no row. Null and empty texts give no row, nor do items
+    shorter than a run. Repeated documents or items give one row; items that share an id give the union of their rows.
+    """
+    return _aligned(documents, items, False).where(F.col("run") | (F.col("share") >= share))
+
+
+def _aligned(documents: DataFrame, items: DataFrame, runs: bool) -> DataFrame:
+    listed = items.select("item_id", "text", "lang").where("text is not null and text <> ''").distinct()
+    listed = listed.select("item_id", "text", "lang", F.xxhash64("item_id", "text", F.coalesce("lang", F.lit(""))).alias("item"))
+    gram = shortest_window(listed, GRAM if runs else EDITED_GRAM)
+    pairs = seeded_pairs(documents, listed, gram, runs)
+    asked = pairs.join(listed, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("text").alias("t"), "lang", "grams")).alias("asked"))
+    texts = documents.select("doc_id", "text").where("text is not null and text <> ''").join(asked, "doc_id")
+    spread: Column = F.xxhash64("doc_id")  # few rows, much work
+    texts = texts.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, held = shared.value
         for batch in batches:
             out = []
-            for ident, text, found in batch.itertuples(index=False):
-                near: dict[int, list[str]] = {}
-                for gram in found:
-                    for item in seeds.get(gram, ()):
-                        near.setdefault(item, []).append(gram)
-                if not near:
-                    continue
+            for ident, text, asked_items in batch[["doc_id", "text", "asked"]].itertuples(index=False):
+                plain = letters(text)
                 own = words(text)
                 ends = np.cumsum([len(w) for w in own])
-                plain = "".join(own)
-                for item, grams_found in near.items():
-                    tokens, least, n = held[item]
-                    reach = 2 * len(tokens)
-                    best = (0, 0)
-                    until = -1
-                    for at in sorted(m.start() for g in set(grams_found) for m in re.finditer(re.escape(g), plain)):
-                        word = int(np.searchsorted(ends, at, side="right"))
-                        if word < until:  # within the passage aligned before
-                            continue
-                        until = word + reach
-                        score, equal, _, _ = align(tokens, own[max(0, word - reach) : until + reach])
-                        best = max(best, (score, equal))
-                    whole = holds_run(text, tokens, least, n == HAN_GRAM)
-                    out.append((ident, item, best[0], best[1], best[1] / len(tokens), whole))
+                characters = None
+                hashes = gram_hashes(plain, gram)
+                for asked_item in asked_items:
+                    tokens, least, n = item_tokens(asked_item["t"], asked_item["lang"])
+                    han = n == HAN_GRAM
+                    if han and characters is None:
+                        characters = [c for w in own for c in w]
+                    places = np.flatnonzero(np.isin(gram_hashes(plain, n) if han else hashes, asked_item["grams"]))
+                    spots = places if han else np.searchsorted(ends, places, side="right")
+                    score, equal = passage_alignment(tokens, characters if han else own, spots.tolist())
+                    certain = score >= MATCH * least
+                    if not certain and not han:  # words may be broken or joined: where letters agree long enough, they are aligned
+                        joined = "".join(tokens)
+                        shortest = min(len("".join(tokens[k : k + least])) for k in range(len(tokens) - least + 1))
+                        where = longest_true(np.isin(hashes, gram_hashes(joined, gram)), shortest - gram + 1)
+                        certain = where is not None and passage_alignment(list(joined), list(plain), [where])[0] >= MATCH * shortest
+                    whole = certain and holds_run(text, tokens, least, han)
+                    if whole or not runs:
+                        out.append((ident, asked_item["item_id"], score, equal, equal / len(tokens), whole))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "equal", "share", "run"])
 
-    return pairs.mapInPandas(run, "doc_id long, item_id long, score int, equal int, share double, run boolean")
+    return texts.mapInPandas(run, "doc_id long, item_id long, score int, equal int, share double, run boolean").distinct()
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id): documents that hold a run of an item; its alignment scores at least what a run scores."""
-    return _aligned(documents, items, LIMIT, runs=True).where("run").select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): documents that hold a run of an item.
+
+    The alignment must score at least what a run scores (MATCH for each of its words); the exact check of the run follows.
+    """
+    return _aligned(documents, items, True).where("run").select("doc_id", "item_id").distinct()

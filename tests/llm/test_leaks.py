@@ -51,8 +51,7 @@ def test_runs_are_found_as_by_comparing_everything(spark):
     want = brute(texts, listed)
     assert 20 < len(want) < 120
     assert rows(leaks.leaked(documents(spark, texts), items(spark, listed))) == want
-    parts = leaks.alignments(documents(spark, texts), items(spark, listed), limit=500).where("run").select("doc_id", "item_id")
-    assert rows(parts) == want
+    assert rows(leaks.alignments(documents(spark, texts), items(spark, listed)).where("run").select("doc_id", "item_id")) == want
 
 
 def test_disguised_copies(spark):
@@ -106,13 +105,52 @@ def test_an_edited_copy_beside_a_full_one_is_aligned(spark):
     assert rows(leaks.leaked(documents(spark, texts), items(spark, [" ".join(w)]))) == {(1, 0), (2, 0)}
 
 
-def test_every_window_has_a_seed_and_rare_ones_win():
-    grams, held = leaks.item_grams([(1, " ".join(f"w{k}" for k in range(14)), "en")])
-    df = {g: 100 for g in grams}
-    rare = "".join(f"w{k}" for k in range(5, 10))
-    df[rare] = 1
-    seeds = leaks.rare_seeds(grams, held, df)
-    assert set(seeds) == {rare}
+def test_every_window_has_a_seed_and_rare_ones_win(spark):
+    """Of the windows of an item that stands whole in many documents, the seeds are n-grams that few others hold."""
+    rng = random.Random(5)
+    w = sentence(rng, 24)
+    common = [" ".join(w[:6] + sentence(rng, 20)) for _ in range(40)]
+    docs, listed = documents(spark, [" ".join(w), *common]), items(spark, [" ".join(w)]).selectExpr("item_id", "text", "lang", "1L as item")
+    pairs = {r.doc_id: len(r.grams) for r in leaks.seeded_pairs(docs, listed, leaks.GRAM, True).collect()}
+    assert set(pairs) == {0}
+
+
+def test_hashes_of_runs_do_not_depend_on_their_place():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdeशक火") for _ in range(300))
+    for n in (1, 4, 7, 8, 13, 20):
+        found = leaks.gram_hashes(text, n)
+        assert len(found) == 301 - n and all(found[k] == leaks.gram_hashes(text[k : k + n], n)[0] for k in range(0, 301 - n, 11))
+        assert len(set(found.tolist())) == len({text[k : k + n] for k in range(301 - n)})
+    assert len(leaks.gram_hashes("ab", 3)) == 0
+
+
+def test_a_run_of_exactly_ten_words_with_broken_and_joined_words(spark):
+    rng = random.Random(4)
+    w = sentence(rng, 10)
+    broken = " ".join([*w[:4], w[4][:3] + "-\n" + w[4][3:], *w[5:]])
+    texts = [f"Before {broken} after", "".join(w), "X " + " ".join(w[:5]) + "".join(w[5:]) + " y", " ".join(w[:9])]
+    assert rows(leaks.leaked(documents(spark, texts), items(spark, [" ".join(w)]))) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_edited_copies_are_found_as_by_aligning_everything(spark):
+    """Recall of edited copies against all pairs of documents and items, every fourth to twelfth word changed or gone."""
+    rng = random.Random(11)
+    listed = [" ".join(sentence(rng, 40)) for _ in range(12)]
+    texts = []
+    for k in range(150):
+        w = rng.choice(listed).split()
+        step = rng.randint(4, 12)
+        kept = [x for i, x in enumerate(x if i % step else rng.choice(["changed", ""]) for i, x in enumerate(w)) if x]
+        texts.append(" ".join(sentence(rng, 15) + kept + sentence(rng, 15)) if k % 3 else " ".join(sentence(rng, 50)))
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(listed):
+            equal = leaks.align(leaks.words(item), leaks.words(text))[1]
+            if equal / 40 >= leaks.SHARE:
+                want.add((d, i))
+    got = rows(leaks.alignments(documents(spark, texts), items(spark, listed)).select("doc_id", "item_id"))
+    assert len(want) > 70 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_empty_tables_repeats_and_nulls(spark):
