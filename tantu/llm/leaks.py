@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tantu.functions.lookalike import IGNORABLE, LETTERS, SEQUENCES
@@ -27,6 +27,7 @@ GRAM, HAN_GRAM = 20, 8  # letters of an n-gram, and Chinese characters; shorter
 EDITED_GRAM = 10  # letters of an n-gram where edited copies are wanted as well: two or three words
 RARE = 0.01  # share of the documents up to which an n-gram is rare
 SHARE = 0.5  # share of an item's words that an edited copy must hold in alignment
+COVER = 0.05  # share of an item's n-grams that an edited copy must hold to be aligned
 MOST_BITS = 1 << 27  # of the Bloom bitmap (16 MB); more n-grams only let more through to the join
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -234,7 +235,8 @@ def seeded_pairs(documents: DataFrame, items: DataFrame, gram: int, runs: bool,
 
     The rarest n-gram of every window is a seed (of equally rare ones the first): a window that stands in some document
     has only n-grams that occur, so its seed is among that document's. For ``runs`` nothing else is. Otherwise every
-    n-gram in at most ``rare`` of the documents is a seed as well, and of common ones two that stand apart in the item.
+    n-gram in at most ``rare`` of the documents is a seed as well, and of common ones two that stand apart in the item; and
+    a pair must share COVER of the item's n-grams.
     """
     spark = documents.sparkSession
     windows = written(spark, item_windows(items, gram), "windows")
@@ -247,9 +249,10 @@ def seeded_pairs(documents: DataFrame, items: DataFrame, gram: int, runs: bool,
         return hits.join(seeds, "gram").groupBy("doc_id", "item").agg(F.collect_set("gram").alias("grams"))
     few = F.greatest(F.lit(1.0), documents.agg((F.count("*") * rare).alias("n")).scalar())
     marked = places.join(held, "gram").join(seeds.withColumn("seed", F.lit(True)), ["item", "gram"], "left")
-    marked = marked.select("item", "at", "gram", (F.coalesce("seed", F.lit(False)) | (F.col("df") <= few)).alias("seed"))
-    pairs = hits.join(marked, "gram").groupBy("doc_id", "item").agg(F.max("seed").alias("seed"), (F.max("at") - F.min("at")).alias("apart"), F.collect_set("gram").alias("grams"))
-    return pairs.where(F.col("seed") | (F.col("apart") >= gram)).select("doc_id", "item", "grams")
+    size = F.max("at").over(Window.partitionBy("item"))
+    marked = marked.select("item", "at", "gram", (F.coalesce("seed", F.lit(False)) | (F.col("df") <= few)).alias("seed"), size.alias("size"))
+    pairs = hits.join(marked, "gram").groupBy("doc_id", "item").agg(F.max("seed").alias("seed"), (F.max("at") - F.min("at")).alias("apart"), F.collect_set("gram").alias("grams"), F.count("*").alias("n"), F.max("size").alias("size"))
+    return pairs.where((F.col("seed") | (F.col("apart") >= gram)) & (F.col("n") >= COVER * F.col("size"))).select("doc_id", "item", "grams")
 
 
 def passage_alignment(tokens: list[str], own: list[str], spots: list[int]) -> tuple[int, int]:
