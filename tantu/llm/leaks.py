@@ -242,7 +242,7 @@ def seeded_pairs(documents: DataFrame, items: DataFrame, gram: int, runs: bool,
     windows = written(spark, item_windows(items, gram), "windows")
     hits = written(spark, document_grams(documents, *gram_bitmap(windows), gram), "hits")
     places = windows.select("item", "at", "gram").distinct()
-    held = hits.join(windows.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.countDistinct("doc_id").alias("df"))
+    held = hits.join(windows.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))  # a row for each document
     first = windows.join(held, "gram").groupBy("item", "window").agg(F.min(F.struct("df", "at", "gram")).alias("s"))
     seeds = first.select("item", F.col("s.gram").alias("gram")).distinct()
     if runs:

@@ -1,6 +1,9 @@
+import os
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tantu.llm import termcounts
 from tests.conftest import rows
 
@@ -44,15 +47,33 @@ def test_unchanged_records_write_no_delta(spark):
     records = spark.createDataFrame([("a", 1, ["x"]), ("a", 2, [])], SCHEMA)
     store.apply(records)
     store.apply(records)
-    assert spark.read.parquet(f"{store.path}/counts").where("gen = 1").count() == 0 if _has(store, 1) else True
+    assert not [n for n in os.listdir(f"{store.path}/counts/gen=1") if n.startswith("bucket")]
     assert rows(store.counts()) == {("a", "x", 1, 1), ("a", None, 0, 2)}
 
 
-def _has(store, gen):
-    import os
-
-    path = f"{store.path}/counts/gen={gen}"
-    return any(n.startswith("bucket") for n in os.listdir(path)) if os.path.exists(path) else False
+def test_a_store_reopens_with_all_it_holds(spark):
+    store = termcounts.TermStore(spark)
+    store.apply(spark.createDataFrame([("a", 1, ["x", "x", "y"]), ("a", 2, ["x"])], SCHEMA))
+    store.apply(spark.createDataFrame([("a", 2, ["z"])], SCHEMA))
+    other = termcounts.TermStore(spark.newSession(), store.path)
+    assert rows(other.counts()) == {("a", "x", 2, 1), ("a", "y", 1, 1), ("a", "z", 1, 1), ("a", None, 0, 2)}
+    other.apply(spark.createDataFrame([("a", 1, None)], SCHEMA))
+    again = termcounts.TermStore(spark, store.path)
+    assert rows(again.counts()) == {("a", "z", 1, 1), ("a", None, 0, 1)} and [(r.rec, r.terms) for r in again.records().collect()] == [(2, ["z"])]
+    # an update that ended before its mark leaves the store as it was
+    os.makedirs(f"{store.path}/records/gen=3/at=0")
+    assert rows(termcounts.TermStore(spark, store.path).counts()) == rows(again.counts())
+
+
+def test_an_update_reads_only_the_buckets_of_its_records(spark):
+    store = termcounts.TermStore(spark, span=10)
+    store.apply(spark.range(1000).selectExpr("'a' as fld", "id as rec", "array('x', cast(id as string)) as terms"))
+    changes = spark.createDataFrame([("a", k, ["y"]) for k in range(500, 510)], SCHEMA)
+    assert store.touched(changes) == [50]
+    held = store._held().where(F.col("at").isin(store.touched(changes)))
+    assert len(held.inputFiles()) >= 1 and held.count() == 10 and "PartitionFilters: [" in held._jdf.queryExecution().toString() and "at#" in held._jdf.queryExecution().toString()
+    store.apply(changes)
+    assert {(r.term, r.total) for r in store.counts().where("term in ('x', 'y', '505', '5')").collect()} == {("x", 990), ("y", 10), ("5", 1)}
 
 
 def test_marks_at_their_limits(spark):
@@ -77,3 +98,11 @@ def test_records_of_the_corpus(spark):
     groups = spark.createDataFrame([(1, "l"), (1, "l"), (2, None), (3, "")], "group_id long, lemma string")
     found = termcounts.corpus_records({"work_units": units, "parse_groups": groups}.get)
     assert sorted((r.fld, r.rec, r.terms) for r in found.collect()) == [("lemma", 1, ["l"]), ("words", 1, ["a", "a"]), ("words", 2, ["b", "c"]), ("words", 3, [])]
+
+
+def test_two_deliveries_count_as_one(spark):
+    units = [(1, ["a", "b"], None, "2023-05-01 00:00:00"), (1, ["a"], None, "2024-05-01 00:00:00"), (2, None, "b b", "2023-01-01 00:00:00"), (3, ["c"], None, "2024-06-01 00:00:00"), (4, ["d"], None, None)]
+    groups = [(1, "l", "2023-01-01 00:00:00"), (2, "m", "2024-02-01 00:00:00"), (3, "", None)]
+    t = {"work_units": spark.createDataFrame(units, "unit_id long, words array<string>, w string, ingested_at string").withColumn("ingested_at", F.col("ingested_at").cast("timestamp")), "parse_groups": spark.createDataFrame(groups, "group_id long, lemma string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))}
+    found = rows(termcounts.updated_counts(t.get).select("fld", "term", "total", "records"))
+    assert found == {("words", "a", 1, 1), ("words", "b", 2, 1), ("words", "c", 1, 1), ("words", "d", 1, 1), ("lemma", "l", 1, 1), ("lemma", "m", 1, 1)}
