@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from tantu.functions.lookalike import consistent
 from tantu.functions.scripts import dev_to_iast, strip_marks, to_iast
 
-LIMIT = 50_000  # reference entries up to which the dictionary is broadcast; beyond, deletion keys are joined
+# Reference entries up to which the dictionary is broadcast. An entry has up to three keys and a key of ten letters 56 ways
+# to lose two: 5,000 entries are under a million strings, some 100 MB in a worker. Beyond, deletion keys are joined.
+LIMIT = 5_000
 DISTANCE = 2  # characters deleted on either side of a key
 FINE = 0.05  # weight of marks and of the spelling of a sound, beside an edit's 1
 
@@ -93,6 +96,12 @@ def search_keys(key: str, most: int = DISTANCE) -> set[str]:
     return deletions(key, most) | {bare}
 
 
+@lru_cache(maxsize=8192)
+def _base(letter: str) -> str:
+    """A letter without its marks."""
+    return strip_marks(letter)[:1]
+
+
 def edit_cost(a: str, b: str, most: float, plain: bool = True) -> float:
     """Weighted Damerau-Levenshtein: an edit or a swap of neighbours 1, a doubled letter or an h 0.6.
 
@@ -113,7 +122,7 @@ def edit_cost(a: str, b: str, most: float, plain: bool = True) -> float:
             if x == y:
                 best = last[j - 1]
             else:
-                best = last[j - 1] + (1.0 if plain or strip_marks(x)[:1] != strip_marks(y)[:1] else 0.25)
+                best = last[j - 1] + (1.0 if plain or _base(x) != _base(y) else 0.25)
                 if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                     best = min(best, before[j - 2] + 1.0)
             gone = last[j] + (0.6 if i > 1 and x == a[i - 2] or x == "h" else 1.0)
@@ -167,6 +176,24 @@ def reference(headwords: DataFrame, values: DataFrame) -> DataFrame:
     return both.join(used, "val", "left").groupBy("head_id", "u", "iast").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
+_DICTIONARIES: dict[int, tuple] = {}  # of a Python worker: the deletion dictionary, so that later tasks find it built
+
+
+def deletion_dictionary(listed: list[tuple[int, str, str, int]], distance: int) -> tuple[dict[str, list[int]], dict[int, tuple[str, str]], dict[int, int]]:
+    """Ids by deletion key, (u, iast) and frequency by id, of entries (head_id, iast, u, n)."""
+    held = _DICTIONARIES.get(distance)
+    if held is None or held[0] != listed:
+        by_key: dict[str, list[int]] = {}
+        entries_by_id, weights = {}, {}
+        for ident, iast, u, n in listed:
+            entries_by_id.setdefault(ident, (u, iast))
+            weights[ident] = n
+            for key in {k for e in entry_keys_of(u, iast).values() for k in search_keys(e, distance)}:
+                by_key.setdefault(key, []).append(ident)
+        held = _DICTIONARIES[distance] = listed, by_key, entries_by_id, weights
+    return held[1:]
+
+
 def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance: int = DISTANCE) -> DataFrame:
     """(val, head_id, cost) for every distinct val that equals no entry's u or iast: the entry meant, or -1 and -1.0.
 
@@ -186,13 +213,7 @@ def meant(values: DataFrame, headwords: DataFrame, limit: int = LIMIT, distance:
     held = context.broadcast(listed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_key: dict[str, list[int]] = {}
-        entries_by_id, weights = {}, {}
-        for ident, iast, u, n in held.value:
-            entries_by_id.setdefault(ident, (u, iast))
-            weights[ident] = n
-            for key in {k for e in entry_keys_of(u, iast).values() for k in search_keys(e, distance)}:
-                by_key.setdefault(key, []).append(ident)
+        by_key, entries_by_id, weights = deletion_dictionary(held.value, distance)
         for batch in batches:
             out = []
             for value in batch["val"]:
