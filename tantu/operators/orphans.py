@@ -1,7 +1,9 @@
 """References whose target is not there at the referring row's time.
 
 A Bloom filter of all parent keys proves most orphans at once; only what the filter lets pass is verified by an exact
-join on key and interval. The filter is a bitmap of fixed size, built by partial aggregation and used inside generated code.
+join on key and interval. The filter is a table of words of 64 bits: all bits of a key lie in one word, so a test is one
+lookup in a broadcast table of checked size. Children are read once: those that the filter disproves go through the join
+under a key that no parent has.
 """
 
 from __future__ import annotations
@@ -9,40 +11,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 23
+from tantu.session import written
+
+BITS_A_KEY = 16  # of the filter, rounded up to a power of two
+MOST_WORDS = 1 << 20  # of the filter (8 MB): beyond some 4 million keys it fills up, and more is left to the exact join
 HASHES = 4
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _word(key: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(words)).cast("int")
+
+
+def _mask(key: Column) -> Column:
+    """HASHES bits of 64, taken from one more hash, six bits of it each."""
+    h = F.xxhash64(key, F.lit(1))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    out = bit(0)
+    for i in range(1, HASHES):
+        out = out.bitwiseOR(bit(i))
+    return out
 
 
-def bloom_bitmap(parents: DataFrame, key: str, bits: int = BITS) -> DataFrame:
-    """One row: the filter of column ``key`` as array<bigint> of bits/64 words (1 MB at the default, whatever the input).
+def bloom_words(parents: DataFrame, key: str, most: int = MOST_WORDS) -> tuple[DataFrame, int]:
+    """(word, bits) of the filter of column ``key``, and how many words it may have: BITS_A_KEY a key, ``most`` at most.
 
-    Words are aggregated by bit_or before and after the shuffle; the last step gathers bits/64 words, not keys. More keys
-    than the bitmap is meant for (about bits/10) only let more references through to the exact join.
+    Bits are joined by bit_or before and after the shuffle, so no more rows move than the filter has words.
     """
-    spark = parents.sparkSession
-    words = bits // 64
-    spots = parents.where(F.col(key).isNotNull()).select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at"))
-    some = spots.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bit"))
-    every = spark.range(0, words, 1, 1).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bit"))
-    filled = some.union(every).groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bit"))), lambda x: x["bit"]).alias("bitmap"))
-
-
-def might_contain(bitmap: Column, key: Column, bits: int = BITS) -> Column:
-    """False only if no parent has that key; null for a null key."""
-    out = None
-    for at in _positions(key, bits):
-        word = F.element_at(bitmap, F.floor(at / 64).cast("int") + 1)
-        bit = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))) != 0
-        out = bit if out is None else out & bit
-    return out
+    held = parents.where(F.col(key).isNotNull())
+    n = held.agg(F.approx_count_distinct(key)).first()[0]
+    words = min(most, 1 << max(4, (n * BITS_A_KEY // 64).bit_length()))
+    return held.groupBy(_word(F.col(key), words).alias("word")).agg(F.bit_or(_mask(F.col(key))).alias("bits")), words
+
+
+def might_contain(children: DataFrame, key: Column, filter_words: DataFrame, words: int, name: str) -> DataFrame:
+    """children with the column ``name``: false only if no parent has that key (or the key is null)."""
+    held = F.broadcast(filter_words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))  # ``words`` rows at most
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False)) & key.isNotNull()
+    tested = children.withColumns({"__at": _word(key, words), "__mask": _mask(key)}).join(held, F.col("__at") == F.col("__word"), "left")
+    return tested.withColumn(name, hit).drop("__at", "__mask", "__word", "__bits")
 
 
-def orphans(children: DataFrame, parents: DataFrame, bits: int = BITS) -> DataFrame:
+def orphans(children: DataFrame, parents: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """The rows of ``children`` whose target is not there at their time.
 
     children: any columns, with ``key`` (struct or scalar, the reference) and ``t``. parents: ``key``, ``since``, ``until``
@@ -51,14 +60,15 @@ def orphans(children: DataFrame, parents: DataFrame, bits: int = BITS) -> DataFr
     there at that time. Rows are neither merged nor dropped: repeated children come out as often as they came in.
     """
     own = [F.col(f"`{c}`") for c in children.columns]
-    boxed = children.select(F.struct(*own).alias("row"), F.col("key").alias("k"), F.col("t").alias("at"))  # no name can clash
-    held = parents.select(F.col("key").alias("held"), "since", "until")
-    bitmap = bloom_bitmap(parents.select(F.xxhash64("key").alias("h")), "h", bits)
-    tested = boxed.withColumn("maybe", might_contain(bitmap.scalar(), F.xxhash64("k"), bits))
-    definite = tested.where(~F.col("maybe"))
-    there = (F.col("k") == F.col("held")) & (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at")))
-    checked = tested.where(F.col("maybe")).join(held, there, "left_anti")
-    return definite.unionByName(checked).select("row.*")
+    boxed = children.select(F.struct(*own).alias("row"), F.col("key").alias("k"), F.xxhash64("key").alias("h"), F.col("t").alias("at"))  # no name can clash
+    held = parents.select(F.col("key").alias("held"), F.xxhash64("key").alias("hh"), "since", "until")
+    filter_words, words = bloom_words(held, "hh", most)
+    filter_words = written(children.sparkSession, filter_words, "bloom")
+    tested = might_contain(boxed, F.col("h"), filter_words, words, "maybe")
+    # a disproved child is spread by a hash of its own and meets no parent: parents are of spread 0
+    spread = F.when(F.col("maybe"), F.lit(0).cast("bigint")).otherwise(F.xxhash64("k", "at").bitwiseOR(F.lit(1)))
+    there = (F.col("k") == F.col("held")) & (F.col("spread") == F.col("of")) & (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at")))
+    return tested.withColumn("spread", spread).join(held.withColumn("of", F.lit(0).cast("bigint")), there, "left_anti").select("row.*")
 
 
 def unit_references(spark_tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -81,13 +91,13 @@ def unit_references(spark_tables) -> tuple[DataFrame, DataFrame, DataFrame, Data
     return to_units, held_units, to_works, held_works
 
 
-def orphan_references(spark_tables, bits: int = BITS) -> DataFrame:
+def orphan_references(spark_tables, most: int = MOST_WORDS) -> DataFrame:
     """(src, yyyymm, row_id, ref): every reference of the corpus tables whose target is not there at its time; distinct."""
     to_units, units, to_works, works = unit_references(spark_tables)
-    found = orphans(to_units, units, bits).union(orphans(to_works, works, min(bits, 1 << 16)))
+    found = orphans(to_units, units, most).union(orphans(to_works, works, most))
     return found.select("src", F.date_format("t", "yyyy-MM").alias("yyyymm"), "row_id", "ref").distinct()
 
 
-def orphan_report(spark_tables, bits: int = BITS) -> DataFrame:
+def orphan_report(spark_tables, most: int = MOST_WORDS) -> DataFrame:
     """Orphans per table and month: src, yyyymm, orphans (distinct rows and refs), rows (with at least one)."""
-    return orphan_references(spark_tables, bits).groupBy("src", "yyyymm").agg(F.count("*").alias("orphans"), F.countDistinct("row_id").alias("rows"))
+    return orphan_references(spark_tables, most).groupBy("src", "yyyymm").agg(F.count("*").alias("orphans"), F.countDistinct("row_id").alias("rows"))
