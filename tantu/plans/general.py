@@ -45,7 +45,7 @@ def p5_dialects(spark: SparkSession, path: str) -> DataFrame:
     """How many distinct fields were read in each dialect, by source."""
     analysis = table(spark, path, "analysis_rows").select(F.col("morph_in_context").alias("text"))
     morph = table(spark, path, "morph_entries").select(F.explode("m.f").alias("text"))
-    return packed.chosen_dialects(analysis.union(morph)).groupBy("dialect").agg(F.count("*").alias("fields"))
+    return packed.chosen_dialects(analysis.union(morph)).groupBy("dialect", "quote").agg(F.count("*").alias("fields"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_refs, p2_parses, p2_members, p4_found, p4_report, p5_found, p5_dialects)}

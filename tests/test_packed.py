@@ -13,15 +13,40 @@ def table(spark, fields):
 def test_split_outside_quotes_and_braces():
     assert packed.split_outside('a{x;y};"b;c" ; d', ";") == ["a{x;y}", "b;c", "d"]
     assert packed.split_outside(";;a; ;", ";") == ["a"]
-    assert packed.split_outside('a "b', " ", quoting=False) == ["a", '"b']
+    assert packed.split_outside('a "b', " ", "") == ["a", '"b']
+    assert packed.split_outside("«a;b»;“c”;d", ";", "«") == ["a;b", "“c”", "d"]
+    assert packed.split_outside("'a;b' ;l'x;'c'", ";", "'") == ["a;b", "l'x", "c"]
     assert packed.split_outside("", ";") == []
 
 
 def test_dialects_of_odd_texts():
-    assert list(packed.dialects("plain")) == [("", True)]
+    assert list(packed.dialects("plain")) == [("", "")]
     assert {d for d, _ in packed.dialects("a;b,c")} == {"", ";", ",", ";,"}
-    assert list(packed.dialects('a;"b'))[0] == ("", False)
-    assert len(list(packed.dialects("a;b,c/d|e、f；g／h，i｜j\tk l"))) < 80
+    assert {q for _, q in packed.dialects('a;"b')} == {""}
+    assert {q for _, q in packed.dialects('a;"b";“c”')} == {"", '"', "“"}
+    assert len(list(packed.dialects("a;b,c/d|e、f；g／h，i｜j\tk l"))) == 2 ** len(packed.DELIMITERS)
+
+
+def test_quotes_are_scored(spark):
+    """Where quotes are used around values that hold delimiters they quote; where they are part of the values they do not."""
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    fields, want = [], set()
+    for i in range(300):
+        values = [rng.choice(names) + (";" + rng.choice("123") if rng.random() < 0.2 else "") for _ in range(rng.randint(2, 4))]
+        fields.append(";".join(f"«{v}»" if ";" in v or rng.random() < 0.1 else v for v in values))
+        want |= {(i, k, v) for k, v in enumerate(values)}
+    got = rows(packed.unpack(table(spark, fields), ["id"], "f"))
+    assert len(got & want) > 0.98 * len(want)
+    feet = [f"{a}' {b}';{b}' {a}'" for a in range(3, 9) for b in range(3, 9)]
+    assert {len(v) for v in packed_by_id(packed.unpack(table(spark, feet), ["id"], "f"))} <= {2, 4}
+
+
+def packed_by_id(df):
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.id, []).append(r.val)
+    return by.values()
 
 
 def test_mixed_delimiters_are_chosen_by_the_corpus(spark):
