@@ -101,7 +101,7 @@ def parse_analysis(field: Column) -> Column:
 
     def reading(path: Column) -> Column:
         form = strip(F.regexp_extract(path, "^([^{}]*)", 1))
-        tags = F.filter(F.transform(F.slice(F.split(path, "[{}]"), 2, 99), lambda s: strip(s)), lambda t: t != "")
+        tags = F.filter(F.transform(F.slice(F.split(path, "[{}]"), F.lit(2), F.size(F.split(path, "[{}]"))), lambda s: strip(s)), lambda t: t != "")
         first, every = F.try_element_at(tags, F.lit(1)), F.array_join(tags, ";")
         pos = (
             F.when(first.isNull(), "")
@@ -110,7 +110,7 @@ def parse_analysis(field: Column) -> Column:
             .when(first.rlike("प्रथम|मध्यम|उत्तम"), "verb")
             .otherwise("part")
         )
-        f = F.when(first == "अव्य", F.array_join(F.slice(tags, 2, 99), ";")).otherwise(every)
+        f = F.when(first == "अव्य", F.array_join(F.slice(tags, F.lit(2), F.size(tags)), ";")).otherwise(every)
         return F.struct(form.alias("l"), pos.alias("p"), f.alias("f"))
 
     return F.transform(whole, reading)

@@ -94,28 +94,27 @@ class Index:
         self.begin, self.stop, self.parent, self.in_array, self.rank, self.boxed, self.key = begin, stop, at[parent], in_array, rank, boxed, np.stack([key_from, key_to], 1)
         self.root = int(at[0]), int(at[ends[0]]) + 1, chr(ch[0])
 
-    def nodes(self, deepest: int, raw: bool = True, scalars: bool = True) -> Iterator[tuple]:
-        """(node_id, parent_id, path, in_array, kind, raw) of every value down to that depth; ids are byte offsets."""
+    def nodes(self, deepest: int | None = None, scalars: bool = True) -> Iterator[tuple]:
+        """(node_id, parent_id, path, in_array, kind, raw) of every value, down to a depth if one is given; ids are byte
+        offsets. raw is the text of a scalar; without scalars only objects and arrays come."""
         paths: dict[int, list[str]] = {self.root[0]: []}
         yield self.root[0], None, [], False, "object" if self.root[2] == "{" else "array", None
         text = self.text
-        rows = zip(self.begin.tolist(), self.stop.tolist(), self.parent.tolist(), self.in_array.tolist(), self.rank.tolist(), self.boxed.tolist(), self.key.tolist())
+        wanted = slice(None) if scalars else np.flatnonzero(self.boxed)
+        rows = zip(*(x[wanted].tolist() for x in (self.begin, self.stop, self.parent, self.in_array, self.rank, self.boxed, self.key)))
         for begin, stop, parent, in_array, rank, boxed, (k0, k1) in rows:
             above = paths.get(parent)
-            if above is None or len(above) >= deepest:
+            if above is None or deepest is not None and len(above) >= deepest:
                 continue
             if not boxed:
                 value = text[begin:stop].strip()
                 if not value:  # an empty array holds nothing
                     continue
-                if not scalars and value != b"null":
-                    continue
                 begin += len(text[begin:stop]) - len(text[begin:stop].lstrip())
-            key = str(rank) if in_array else _string(text[k0:k1].strip())
-            path = [*above, key]
+            path = [*above, str(rank) if in_array else _string(text[k0:k1].strip())]
             if boxed:
                 paths[begin] = path
-                yield begin, parent, path, in_array, _KINDS[text[begin]], text[begin:stop].decode("utf-8", "replace") if raw else None
+                yield begin, parent, path, in_array, _KINDS[text[begin]], None
             else:
                 yield begin, parent, path, in_array, _KINDS.get(value[0], "number"), value.decode("utf-8", "replace")
 
@@ -129,8 +128,9 @@ def _string(quoted: bytes) -> str:
     return quoted[1:-1].decode("utf-8", "replace")
 
 
-def nested_nodes(df: DataFrame, keys: list[str], document: str, deepest: int = 8, raw_at: tuple[int, ...] = (), scalars: bool = True) -> DataFrame:
-    """Every value of the JSON documents in column ``document`` as a row linked to its parent.
+def nested_nodes(df: DataFrame, keys: list[str], document: str, deepest: int | None = None, raw_at: tuple[int, ...] = (), scalars: bool = True) -> DataFrame:
+    """Every value of the JSON documents in column ``document`` as a row linked to its parent, however deep (or down to
+    ``deepest``).
 
     Rows: ``keys`` of the document's row, then node_id, parent_id (null for the root), path (object keys and array
     positions from the root), in_array, kind, raw (text of a scalar, and of containers at the depths ``raw_at``).
@@ -149,7 +149,7 @@ def nested_nodes(df: DataFrame, keys: list[str], document: str, deepest: int = 8
                 index = Index(text.encode("utf-8", "replace"))
                 if not index.valid:
                     continue
-                for node in index.nodes(deepest, False, scalars):
+                for node in index.nodes(deepest, scalars):
                     if len(node[2]) in cut and node[4] in ("object", "array") and node[2]:
                         at = int(np.searchsorted(index.begin, node[0]))
                         node = (*node[:5], index.text[node[0] : int(index.stop[at])].decode("utf-8", "replace"))
@@ -172,6 +172,33 @@ PARSE = "l string, p string, f string, g string, x string, r string, source stri
 MEMBER = "d string, l string, p string, f string"
 
 
+def flat_table(nodes: DataFrame, keys: list[str], pattern: list[str]) -> DataFrame:
+    """One flat table of nested documents: the objects at the places that a pattern names, linked to the objects above them.
+
+    nodes: of ``nested_nodes``. pattern: steps from the root, each a key, ``*`` (any key) or ``[]`` (any place in an array).
+    Rows: keys, node_id, parent_id (of the nearest object above, through arrays; null where the root is an array), steps (the
+    keys and places that ``*`` and ``[]`` stand for, in order), position (in its array, null outside one) and fields, a map of
+    the object's own scalars to their text. Objects without scalars have an empty map.
+    """
+    own = nodes.select(*keys, "node_id", "parent_id", "path", "in_array", "kind", "raw")
+    here = F.size("path") == len(pattern)
+    for i, step in enumerate(pattern):
+        at = F.try_element_at("path", F.lit(i + 1))
+        here &= at.rlike("^\\d+$") if step == "[]" else at.isNotNull() if step == "*" else at == step
+    open_steps = [F.element_at("path", i + 1) for i, step in enumerate(pattern) if step in ("*", "[]")]
+    objects = own.where((F.col("kind") == "object") & here)
+    if pattern and pattern[-1] == "[]":
+        objects = objects.where("in_array")
+    arrays = own.where("kind = 'array'").select(*keys, F.col("node_id").alias("array_id"), F.col("parent_id").alias("above"))
+    joined = objects.withColumn("array_id", F.col("parent_id")).join(arrays, [*keys, "array_id"], "left")  # arrays in arrays: one level
+    string = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "$.v")).otherwise(F.col("raw"))
+    scalars = own.where("kind not in ('object', 'array')").groupBy(*keys, F.col("parent_id").alias("node_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.element_at("path", -1).alias("k"), string.alias("v")))).alias("fields"))
+    steps = F.array(*open_steps) if open_steps else F.array().cast("array<string>")
+    position = F.when(F.col("in_array"), F.element_at("path", -1).try_cast("int")) if pattern else F.lit(None).cast("int")
+    rows = joined.select(*keys, "node_id", F.coalesce("above", "parent_id").alias("parent_id"), steps.alias("steps"), position.alias("position"))
+    return rows.join(scalars, [*keys, "node_id"], "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
+
+
 def occurrence_json(df: DataFrame) -> DataFrame:
     """Both versions of occurrence documents as (shard_id, doc), doc the JSON text of the ref map or of its envelope."""
     return df.select("shard_id", F.coalesce("raw_json", F.to_json("occurrence")).alias("doc"))
@@ -187,7 +214,7 @@ def occurrence_tables(df: DataFrame, fields: bool = True) -> dict[str, DataFrame
     """
     nodes = nested_nodes(occurrence_json(df), ["shard_id"], "doc", deepest=6, raw_at=(2, 3, 4, 5, 6) if fields else (), scalars=False)
     enveloped = F.element_at("path", 1) == "occurrence"
-    inner = F.when(enveloped, F.slice("path", 2, 99)).otherwise(F.col("path"))
+    inner = F.when(enveloped, F.slice("path", F.lit(2), F.size("path"))).otherwise(F.col("path"))
     nodes = nodes.where("size(path) > 0").withColumn("at", inner).withColumn("deep", F.size("at"))
     step = lambda k: F.element_at("at", k)
     is_object = F.col("kind") == "object"
@@ -219,7 +246,7 @@ def parse_member_rows(df: DataFrame) -> DataFrame:
     Distinct; one pass over the documents. Empty input gives no rows.
     """
     nodes = nested_nodes(occurrence_json(df), ["shard_id"], "doc", deepest=6, scalars=False)
-    at = F.when(F.element_at("path", 1) == "occurrence", F.slice("path", 2, 99)).otherwise(F.col("path"))
+    at = F.when(F.element_at("path", 1) == "occurrence", F.slice("path", F.lit(2), F.size("path"))).otherwise(F.col("path"))
     nodes = nodes.where("kind = 'object' and size(path) > 0").select("shard_id", "in_array", at.alias("at")).withColumn("deep", F.size("at"))
     step = lambda k: F.try_element_at("at", F.lit(k))
     single = F.col("deep") == 2

@@ -22,7 +22,7 @@ def test_index_finds_what_a_parser_finds(document, ascii_only, indent):
     text = json.dumps(document, ensure_ascii=ascii_only, indent=indent)
     index = nested.Index(text.encode("utf-8", "surrogatepass"))
     assert index.valid
-    found = list(index.nodes(99))
+    found = list(index.nodes())
     want = list(walk(document))
     assert [tuple(n[2]) for n in found] == [p for p, _ in want]
     by_id = {n[0]: n for n in found}
@@ -69,3 +69,26 @@ def test_a_very_long_document(spark):
     big = json.dumps({"1.1": {str(i): [parse(l="क" * 50)] for i in range(20_000)}}, ensure_ascii=False)
     df = spark.createDataFrame([(1, big)], "shard_id long, raw_json string").selectExpr("*", "cast(null as map<string,map<string,array<struct<l:string>>>>) as occurrence")
     assert nested.parse_member_rows(df).count() == 20_000
+
+
+def test_documents_of_any_depth_keep_every_value(spark):
+    document = 1
+    for k in range(60):
+        document = {"k": [document, k]} if k % 2 else {"k": document}
+    df = spark.createDataFrame([(1, json.dumps(document))], "id long, doc string")
+    found = nested.nested_nodes(df, ["id"], "doc").collect()
+    assert len(found) == len(list(walk(document))) and max(len(r.path) for r in found) == 90
+    assert nested.nested_nodes(df, ["id"], "doc", deepest=3).where("size(path) > 3").count() == 0
+
+
+def test_flat_tables_of_a_pattern(spark):
+    docs = {"a": {"orders": [{"no": 1, "note": 'x"y', "items": [{"sku": "p", "n": 2}, {"sku": "q"}]}, {"no": 2, "items": []}]}, "b": {"orders": [{}]}, "c": {"orders": None}}
+    nodes = nested.nested_nodes(spark.createDataFrame([(7, json.dumps(docs))], "id long, doc string"), ["id"], "doc")
+    orders = {tuple(r.steps): r for r in nested.flat_table(nodes, ["id"], ["*", "orders", "[]"]).collect()}
+    assert {k: r.fields for k, r in orders.items()} == {("a", "0"): {"no": "1", "note": 'x"y'}, ("a", "1"): {"no": "2"}, ("b", "0"): {}}
+    items = nested.flat_table(nodes, ["id"], ["*", "orders", "[]", "items", "[]"]).collect()
+    assert [(r.position, r.fields["sku"]) for r in sorted(items, key=lambda r: r.position)] == [(0, "p"), (1, "q")]
+    assert {r.parent_id for r in items} == {orders["a", "0"].node_id}
+    people = nested.flat_table(nodes, ["id"], ["*"]).collect()
+    assert {r.node_id for r in people} >= {r.parent_id for r in orders.values()} and len(people) == 3
+    assert nested.flat_table(nodes.limit(0), ["id"], ["*"]).count() == 0
