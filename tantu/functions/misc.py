@@ -89,19 +89,34 @@ def parse_route(route: Column) -> Column:
     return F.struct(page.alias("page"), author.alias("author"), work.alias("work_id"), ref.alias("ref"))
 
 
-# Verbs that follow a speaker's name, and words that are no name.
-SAY_VERBS = "said|says|replied|answered|asked|exclaimed|continued|rejoined|added|observed|remarked|returned|responded|cried|declared|stated"
-NOT_SPEAKERS = ["He", "She", "They", "It", "We", "You", "I", "The", "This", "That", "There", "Here", "Then", "When", "Why", "How", "What", "Where"]
+# Verbs that follow a speaker's name, words that are no name, short forms of names.
+SAY_VERBS = ["said", "says", "replied", "answered", "asked", "exclaimed", "continued", "rejoined", "added", "observed", "remarked", "returned", "responded", "cried", "declared", "stated", "inquired"]
+NOT_SPEAKERS = [
+    "He", "She", "They", "It", "We", "You", "I", "The", "This", "That", "There", "Here", "Then", "When", "Why", "How", "What", "Where", "Which", "Who", "Whom", "A", "An", "And", "But", "Or",
+    "If", "So", "Because", "Since", "Although",
+]
+SHORT_NAMES = {"soc": "Socrates", "ion": "Ion", "cri": "Crito", "ceb": "Cebes", "sim": "Simmias"}
 
 
 def english_speaker(text: Column) -> Column:
-    """The name that opens a passage before a colon or a verb of saying, null if none does."""
-    name = "([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?)"
-    by_colon = F.regexp_extract(text, f"^\\s*{name}\\s*:", 1)
-    by_verb = F.regexp_extract(text, f"^\\s*{name}\\s+(?:{SAY_VERBS})(?![A-Za-z0-9_])\\s*:?", 1)
-    found = F.when(by_colon != "", by_colon).when(by_verb != "", by_verb)
-    blocked = F.regexp_extract(found, r"^(\S+)", 1).isin(NOT_SPEAKERS)
-    return F.when(found.isNotNull() & ~blocked, F.initcap(found))
+    """The name that opens a passage, null if none does: one or two words before a colon or a verb of saying, or a short form.
+
+    Read from the first tokens (runs of letters, single signs) of the passage. Before a colon both words are capitalised,
+    before a verb the first is.
+    """
+    opening = F.array_join(F.slice(F.split(F.ltrim(text, F.lit(" \t\n\r")), r"\s+", 6), 1, 5), " ")
+    tokens = F.regexp_extract_all(opening, F.lit("[A-Za-z]+|[^A-Za-z ]"), F.lit(0))
+    t = [F.coalesce(F.try_element_at(tokens, F.lit(i)), F.lit("")) for i in (1, 2, 3)]
+    capital = lambda x: x.rlike("^[A-Z][a-z]+$")
+    says = lambda x: F.lower(x).isin(SAY_VERBS)
+    pair = F.concat_ws(" ", t[0], t[1])
+    by_colon = F.when(capital(t[0]) & (t[1] == ":"), t[0]).when(capital(t[0]) & capital(t[1]) & (t[2] == ":"), pair)
+    short = F.when(t[1].isin(":", "."), _map(SHORT_NAMES)[F.lower(t[0])])
+    first = t[0].rlike("^[A-Z][a-z]")
+    by_verb = F.when(first & t[1].rlike("^[A-Za-z]{2}") & says(t[2]), pair).when(first & says(t[1]), t[0])
+    name = F.coalesce(by_colon, F.when(by_colon.isNull(), short), by_verb)
+    blocked = F.when(by_colon.isNotNull() | short.isNull(), t[0].isin(NOT_SPEAKERS)).otherwise(F.lit(False))
+    return F.when(name.isNotNull() & ~blocked, F.initcap(name))
 
 
 def display(token: Column, script: str) -> Column:

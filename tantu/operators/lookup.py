@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tantu.functions.keys import canonical_keys, dict_keys, hyphen_members, is_punctuation, key_variants, trusted_keys
-from tantu.functions.translit import slp1_key, slp1_key_for, strip_accents
+from tantu.functions.translit import slp1_key_for, strip_accents
 from tantu.operators.ordered import first_by, longest_prefix, suffix_trim, tries
 
 
@@ -164,10 +164,6 @@ def resolve_work(queries: DataFrame, works: DataFrame) -> DataFrame:
     return first_by(exact.union(plain).union(prefix), ["query"], ["tier", "ord"]).select("query", "work_id")
 
 
-def any_key(col: Column) -> Column:
-    return slp1_key(col)
-
-
 def member_glosses(lemmas: DataFrame, gloss: DataFrame) -> DataFrame:
     """(lemma, g): gloss of a compound member's lemma by its dictionary keys, else by its own key or a sibilant variant."""
     filled = gloss.where("g is not null and g <> ''")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tantu.session import written
+from tantu.session import hinted, written
 
 
 def _struct(columns: list[str]) -> Column:
@@ -100,11 +100,6 @@ def merge_stats(merged: DataFrame, new: DataFrame, keys: list[str], origin: str)
     return seen.join(added, "origin", "left").join(keys_added, "origin", "left").select("origin", "entries", filled("added"), filled("new_keys"))
 
 
-def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """A map merged from several sources: of each key the entry of the first source."""
-    return first_by(df, keys, order)
-
-
 def ranked_overall(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     """All rows numbered from 1 in one order: ranges of it are numbered apart, each from where the range before ends.
 
@@ -116,7 +111,7 @@ def ranked_overall(df: DataFrame, order: list[str], name: str = "place") -> Data
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranges.withColumn("__at", within).join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")
+    return ranges.withColumn("__at", within).join(hinted(starts, parts), "__range").withColumn(name, F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "ord") -> DataFrame:

@@ -120,7 +120,7 @@ def ranked_groups(parses: DataFrame, keys: list[str], frequency: DataFrame, glos
     frequency: (lemma, n). gloss: (l, gl), glosses of lemmas for analyses that have none.
     """
     rows = prefer_accusative(parses, keys, form)
-    rows = rows.join(F.broadcast(gloss), "l", "left") if gloss is not None else rows.withColumn("gl", F.lit(None).cast("string"))
+    rows = rows.join(gloss, "l", "left") if gloss is not None else rows.withColumn("gl", F.lit(None).cast("string"))
     rows = rows.withColumn("g", F.coalesce("g", "gl")).withColumn("__fl", strip_accents(F.coalesce("l", F.lit(""))))
     rows = rows.join(frequency.select(F.col("lemma").alias("__fl"), F.col("n").alias("__freq")), "__fl", "left")
     deva = F.when(has_devanagari(F.col(form)), F.col(form)).otherwise(iast_to_dev(F.col(form)))

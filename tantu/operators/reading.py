@@ -132,16 +132,28 @@ def occurrence_index(df: DataFrame, edition: str = "source-locked") -> DataFrame
     return df.where((F.col("source") == "dcs") & (F.col("edition") == edition) & F.col("refs").isNotNull())
 
 
-def occurrence_parses(df: DataFrame, edition: str = "source-locked") -> DataFrame:
-    """(work_id, ref, token_index, parses) of typed occurrence documents whose parses are all sure: of the source, confidence 1.
+def occurrence_parses(df: DataFrame, edition: str = "source-locked", units: DataFrame | None = None) -> DataFrame:
+    """(work_id, ref, token_index, parses) of occurrence documents whose parses are all sure: of the source, confidence 1.
 
-    A token with an empty list, or with any doubtful parse, gives no row.
+    Both versions of documents: typed ones, and those whose content is JSON text, in an envelope or not, where a token may
+    hold one parse without a list. A token with an empty list, or with any doubtful parse, gives no row. With ``units``
+    (work_id, ref) only shards whose index names one of them are read.
     """
-    shards = occurrence_index(df, edition).where("occurrence is not null")
-    by_ref = shards.select("work_id", F.explode("occurrence").alias("ref", "tokens"))
-    by_token = by_ref.select("work_id", "ref", F.explode("tokens").alias("token", "parses"))
+    shards = occurrence_index(df, edition)
+    if units is not None:
+        asked = units.select("work_id", F.col("ref").alias("__ref")).distinct()
+        named = shards.select("shard_id", "work_id", F.explode(F.map_keys("refs")).alias("__ref")).join(asked, ["work_id", "__ref"], "left_semi")
+        shards = shards.join(named.select("shard_id").distinct(), "shard_id", "left_semi")
+    typed = shards.where("occurrence is not null").select("work_id", F.explode("occurrence").alias("ref", "tokens"))
+    typed = typed.select("work_id", "ref", F.explode("tokens").alias("token", "parses"))
+    kind = typed.schema["parses"].dataType
+    doc = F.coalesce(F.get_json_object("raw_json", "$.occurrence"), F.col("raw_json"))
+    raw = shards.where("occurrence is null and raw_json is not null").select("work_id", F.explode(F.from_json(doc, "map<string,string>")).alias("ref", "t"))
+    raw = raw.select("work_id", "ref", F.explode(F.from_json("t", "map<string,string>")).alias("token", "ps")).where("ps is not null")
+    listed = F.when(F.ltrim("ps").startswith("["), F.col("ps")).otherwise(F.concat(F.lit("["), "ps", F.lit("]")))
+    raw = raw.select("work_id", "ref", "token", F.from_json(listed, kind).alias("parses"))
     sure = F.forall("parses", lambda p: F.coalesce((p["source"] == "dcs") & (p["confidence"] == 1.0), F.lit(False)))
-    return by_token.where((F.size("parses") > 0) & sure).select("work_id", "ref", F.col("token").try_cast("int").alias("token_index"), "parses")
+    return typed.union(raw).where((F.size("parses") > 0) & sure).select("work_id", "ref", F.col("token").try_cast("int").alias("token_index"), "parses")
 
 
 def with_occurrence(token_rows: DataFrame, parses: DataFrame) -> DataFrame:

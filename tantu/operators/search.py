@@ -47,7 +47,7 @@ def word_search(queries: DataFrame, posted: DataFrame, works: DataFrame, most: i
     by_query = Window.partitionBy("query")
     hits = chosen.join(posted, "term").withColumn("n_works", F.count("*").over(by_query)).withColumn("total", F.sum("n").over(by_query))
     hits = hits.withColumn("rank", F.row_number().over(by_query.orderBy("work_id"))).where(F.col("rank") <= most)
-    shown = hits.join(F.broadcast(works.select("work_id", "title")), "work_id")
+    shown = hits.join(works.select("work_id", "title"), "work_id")
     return shown.select("query", "term", "variant", "n_works", "total", "rank", "work_id", "title", "first_ref")
 
 
@@ -59,14 +59,14 @@ def folded_snippets(elements: DataFrame) -> DataFrame:
 def passage_search(folded: DataFrame, query: str | Column, works: DataFrame, most: int = HITS) -> DataFrame:
     """(total, rank, work_id, title, ref, snippet): passages that contain one query, the first ``most`` of them shown.
 
-    total counts every passage. Queries of up to 3 folded letters find nothing.
+    total counts every passage; shown are those of works that the catalog (work_id, title) has. Queries of up to 3 folded letters find nothing.
     """
     needle = norm_sa(F.lit(query) if isinstance(query, str) else query)
     hits = folded.where((F.length(needle) > 3) & folded["folded"].contains(needle))
     total = hits.agg(F.count("*").alias("n")).scalar()
-    first = hits.orderBy("work_id", "file_id", "pos").limit(most)
-    rank = F.row_number().over(Window.orderBy("work_id", "file_id", "pos"))
-    shown = first.withColumn("rank", rank).join(F.broadcast(works.select("work_id", "title")), "work_id")
+    known = hits.join(works.select("work_id", "title"), "work_id")
+    first = known.orderBy("work_id", "file_id", "pos").limit(most)
+    shown = first.withColumn("rank", F.row_number().over(Window.orderBy("work_id", "file_id", "pos")))  # ``most`` rows
     return shown.select(total.alias("total"), "rank", "work_id", "title", "ref", snippet(F.col("folded"), needle).alias("snippet"))
 
 

@@ -145,9 +145,16 @@ def drawer_pairs(t):
     return reading.paired_once(left, elements.select("file_id", "ref", "pos"), ["file_id"])
 
 
-@query(f"""with {ELEMENTS}, s as (select *, regexp_extract(text, '^\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?)\\s*:', 1) as c, regexp_extract(text, '^\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)?)\\s+(?:{misc.SAY_VERBS})\\b', 1) as v from elements where lang = 'en'),
- n as (select *, case when c <> '' then c when v <> '' then v end as name from s), k as (select *, name is not null and regexp_extract(name, '^(\\S+)', 1) not in ({', '.join(map(quote, misc.NOT_SPEAKERS))}) as hit from n)
- select file_id, count(*) as elements, count_if(hit)::bigint as speakers, count_if(hit) / count(*) as share, count_if(hit) / count(*) >= 0.75 as trusted from k group by file_id""")
+_SAYS = "('said', 'says', 'replied', 'answered', 'asked', 'exclaimed', 'continued', 'rejoined', 'added', 'observed', 'remarked', 'returned', 'responded', 'cried', 'declared', 'stated', 'inquired')"
+_NONE = """('He', 'She', 'They', 'It', 'We', 'You', 'I', 'The', 'This', 'That', 'There', 'Here', 'Then', 'When', 'Why', 'How', 'What', 'Where', 'Which', 'Who', 'Whom', 'A', 'An', 'And', 'But', 'Or', 'If', 'So', 'Because',
+ 'Since', 'Although')"""
+
+
+@query(f"""with {ELEMENTS}, s as (select *, list_slice(regexp_extract_all(ltrim(text, ' \t\n\r'), '[A-Za-z]+|[^A-Za-z\s]'), 1, 3) as t from elements where lang = 'en'),
+ c as (select *, regexp_matches(t[1], '^[A-Z][a-z]+$') as a, regexp_matches(t[1], '^[A-Z][a-z]+$') and regexp_matches(t[2], '^[A-Z][a-z]+$') as b from s),
+ n as (select *, case when a and t[2] = ':' or b and t[3] = ':' then t[1] not in {_NONE} when lower(t[1]) in ('soc', 'ion', 'cri', 'ceb', 'sim') and t[2] in (':', '.') then true
+ when regexp_matches(t[1], '^[A-Z][a-z]') and (lower(t[2]) in {_SAYS} or length(t[2]) >= 2 and lower(t[3]) in {_SAYS}) then t[1] not in {_NONE} else false end as hit from c), k as (select *, coalesce(hit, false) as h from n)
+ select file_id, count(*) as elements, count_if(h)::bigint as speakers, count_if(h) / count(*) as share, count_if(h) / count(*) >= 0.75 as trusted from k group by file_id""")
 def speaker_shares(t):
     return reading.speaker_shares(reading.translation_units(t("trans_files")).where("lang = 'en'"), misc.english_speaker(F.col("text")))
 
@@ -159,21 +166,25 @@ def credit_lines(t):
     return f.select("file_id", "work_id", misc.credit_line(F.col("translator"), F.col("pub_year"), F.col("license")).alias("credit"), F.coalesce("note", F.lit("")).alias("note")).distinct()
 
 
-_OCC = """occ as (select work_id, ref, token::int as token_index, parses from (select work_id, ref, unnest(map_keys(toks)) as token, unnest(map_values(toks)) as parses from
- (select work_id, unnest(map_keys(occurrence)) as ref, unnest(map_values(occurrence)) as toks from occ_index where source = 'dcs' and edition = 'source-locked' and refs is not null and occurrence is not null))
- where len(parses) > 0 and len(list_filter(parses, lambda p: coalesce(p.source = 'dcs' and p.confidence = 1.0, false))) = len(parses))"""
+_OCC = """oi as (select * from occ_index where source = 'dcs' and edition = 'source-locked' and refs is not null),
+ od as (select work_id, case when occurrence is not null then to_json(occurrence) else coalesce(json_extract(raw_json, '$.occurrence'), raw_json::json) end as doc from oi),
+ orf as (select work_id, ref, json_extract(doc, '$."' || ref || '"') as toks from (select work_id, doc, unnest(json_keys(doc)) as ref from od)),
+ otk as (select work_id, ref, token::int as token_index, json_extract(toks, '$."' || token || '"') as ps from (select *, unnest(json_keys(toks)) as token from orf where json_type(toks) = 'OBJECT')),
+ occ as (select work_id, ref, token_index, parses from (select work_id, ref, token_index, case json_type(ps) when 'ARRAY' then ps::json[] when 'OBJECT' then [ps] else [] end as parses from otk)
+ where len(parses) > 0 and len(list_filter(parses, lambda p: coalesce(p->>'source' = 'dcs' and (p->>'confidence')::double = 1.0, false))) = len(parses))"""
 
 
-@query(f"with {_OCC} select distinct work_id, ref, token_index, parses[1].l as l, parses[1].p as p, len(parses)::int as n from occ")
+@query(f"with {_OCC} select distinct work_id, ref, token_index, parses[1]->>'l' as l, parses[1]->>'p' as p, len(parses)::int as n from occ")
 def occurrence_parses(t):
     first = F.element_at("parses", 1)
     return reading.occurrence_parses(t("occ_index")).select("work_id", "ref", "token_index", first["l"].alias("l"), first["p"].alias("p"), F.size("parses").alias("n")).distinct()
 
 
-@query(f"""with {TOKENS}, {_OCC}, one as (select work_id, ref, token_index, min({{l: parses[1].l, p: parses[1].p, f: parses[1].f}}) as parse from occ group by all)
+@query(f"""with {TOKENS}, {_OCC}, one as (select work_id, ref, token_index, min({{l: parses[1]->>'l', p: parses[1]->>'p', f: parses[1]->>'f'}}) as parse from occ group by all)
  select unit_id, toks.work_id, toks.ref, toks.token_index, form, parse.l as l, parse.p as p from toks left join one on toks.work_id = one.work_id and toks.ref = one.ref and toks.token_index = one.token_index""")
 def token_occurrence(t):
-    joined = reading.with_occurrence(reading.tokens(t("work_units")), reading.occurrence_parses(t("occ_index")))
+    units = t("work_units")
+    joined = reading.with_occurrence(reading.tokens(units), reading.occurrence_parses(t("occ_index"), units=units))
     return joined.select("unit_id", "work_id", "ref", "token_index", "form", "parse.l", "parse.p")
 
 
@@ -335,9 +346,9 @@ SQL["word_search"] = SQL["word_search"].replace(
 
 
 @query(f"""with {ELEMENTS}, f as (select work_id, file_id, ref, pos, {duck.norm_sa('text')} as folded from elements), h as (select *, instr(folded, 'strangedefeat') - 1 as hit from f where contains(folded, 'strangedefeat')),
- r as (select *, (row_number() over (order by work_id, file_id, pos))::int as rank from h), c as (select distinct work_id, title from works)
+ c as (select distinct work_id, title from works), r as (select *, (row_number() over (order by work_id, file_id, pos))::int as rank from h join c using (work_id))
  select (select count(*) from h) as total, rank, work_id, title, ref, (case when greatest(0, hit - 55) > 0 then '…' else '' end) || folded[greatest(0, hit - 55) + 1:least(length(folded), hit + 13 + 65)] || (case when least(length(folded), hit + 13 + 65) < length(folded) then '…' else '' end) as snippet
- from r join c using (work_id) where rank <= 8""")
+ from r where rank <= 8""")
 def passage_search(t):
     folded = search.folded_snippets(reading.translation_units(t("trans_files")).drop("lang", "part_ref").distinct())
     return search.passage_search(folded, "Strange defeat", t("works").select("work_id", "title").distinct())
@@ -484,7 +495,7 @@ def ranked_groups(t):
 def _ranked(t):
     e = t("morph_entries").where("slp_key is not null").dropDuplicates(["entry_id"])
     h = t("headwords").select(F.col("u").alias("form"), translit.slp1_key_for(F.col("u")).alias("slp_key"))
-    rows = e.join(F.broadcast(h), "slp_key").select("form", "ord_no", "l", "p", "f", "g", "x")
+    rows = e.join(h, "slp_key").select("form", "ord_no", "l", "p", "f", "g", "x")
     freq = ranking.lemma_tally(rows.select("form", "l"))
     gl = t("headwords").select(F.col("u").alias("l"), F.col("g").alias("gl"))
     return ranking.ranked_groups(rows, ["form"], freq, gl)
@@ -525,7 +536,9 @@ def short_glosses(t):
     return g.select("mw_id", gloss.compact_gloss(F.col("g")).alias("sense"), gloss.clip_gloss(F.col("g"), 40).alias("clipped"), gloss.gloss_identity(F.col("g")).alias("identity"))
 
 
-@query("""select distinct mw_id, coalesce(regexp_matches(regexp_replace(coalesce(g, ''), '\\s+', ' ', 'g')[1:48], '(?i)^\\s*(?:as,\\s*)?(?:[mfn]\\.\\s*)?(?:N|Name)\\.\\s*of\\b'), false) as is_name, length(regexp_replace(coalesce(g, ''), '[^A-Za-z]', '', 'g')) >= 3 as useful from mw_entries""")
+@query("""with h as (select distinct mw_id, g, lower(array_to_string(regexp_extract_all(left(regexp_replace(coalesce(g, ''), '\\s+', ' ', 'g'), 48), '[A-Za-z0-9_]+|[^A-Za-z0-9_ ]'), ' ')) || ' ' as s from mw_entries),
+ o as (select a || b || c || ' . of ' as opening from (values (''), ('as , ')) x(a), (values (''), ('m . '), ('f . '), ('n . ')) y(b), (values ('n'), ('name')) z(c))
+ select mw_id, (select bool_or(starts_with(s, opening)) from o) as is_name, length(regexp_replace(coalesce(g, ''), '[^A-Za-z]', '', 'g')) >= 3 as useful from h""")
 def gloss_kinds(t):
     return t("mw_entries").select("mw_id", gloss.is_name_gloss(F.col("g")).alias("is_name"), gloss.is_useful_gloss(F.col("g")).alias("useful")).distinct()
 

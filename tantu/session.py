@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "tantu", cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -31,9 +32,15 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that is an error, as executors would not
+    share it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tantu-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -54,5 +61,6 @@ def drop_written(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def repo_paths() -> list[str]:
-    return [os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
+def hinted(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """df to be broadcast, if it is known to have ``most`` rows at most; else as the planner decides by its size."""
+    return F.broadcast(df) if rows <= most else df

@@ -104,7 +104,7 @@ def read_postings(spark: SparkSession, meta: str, path: str) -> DataFrame:
     """(term, total, work_id, first_ref) of a word index: its list of works and its shards of mixed arrays."""
     works = one_document(spark, meta).select(F.from_json("value", "v bigint, letters array<string>, works array<string>").alias("d")).select(F.posexplode("d.works").alias("i", "work_id"))
     rows = read_map(spark, path, "array<string>").select(F.col("key").alias("term"), F.col("value")[0].try_cast("bigint").alias("total"), F.explode(F.from_json(F.col("value")[1], "array<array<string>>")).alias("p"))
-    return rows.select("term", "total", F.col("p")[0].try_cast("int").alias("i"), F.col("p")[1].alias("first_ref")).join(F.broadcast(works), "i").select("term", "total", "work_id", "first_ref")
+    return rows.select("term", "total", F.col("p")[0].try_cast("int").alias("i"), F.col("p")[1].alias("first_ref")).join(works, "i").select("term", "total", "work_id", "first_ref")
 
 
 def read_snippets(spark: SparkSession, path: str) -> DataFrame:

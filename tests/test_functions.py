@@ -112,11 +112,13 @@ def test_samasa(spark):
 
 
 def test_glosses(spark):
-    cases = {"m. a large drum; see RV. 1,2": "a large drum", "<b>x</b> [n] the sea. Then more": "x the sea", "रथ chariot q.v. rest": "chariot", "12": None, "": None, "f. river, MBh. 3": "river", "N. of a king": "of a king"}
+    cases = {"m. a large drum; see RV. 1,2": "a large drum", "<b>x</b> [n] the sea. Then more": "x the sea", "रथ chariot q.v. rest": "chariot q.v", "a cart and so on, more; x": "a cart", "see m.pl. loud R. 12 Rice, gen. 3": "loud Rice", "12": None, "": None, "f. river, MBh. 3": "river", "N. of a king": "of a king"}
     assert one(spark, list(cases), gloss.compact_gloss) == list(cases.values())
     long = "word " * 40
     assert one(spark, [long], gloss.compact_gloss)[0] == ("word " * 17).strip() + "…"
-    assert one(spark, ["m. N. of a man", "as, m. Name. of x", "a N. of", None], gloss.is_name_gloss) == [True, True, False, False]
+    assert one(spark, ["m. N. of a man", "as, m. Name. of x", "a N. of", None, "n. of x", "m N. of x", "N. offers"], gloss.is_name_gloss) == [True, True, False, False, True, False, False]
+    row = spark.createDataFrame([("noun", "x;PROPN", None), (" Name", "", None), ("noun", "Namely", "m N. of x"), ("noun", "namely", "x"), (None, None, None)], "p string, f string, g string")
+    assert [r[0] for r in row.select(gloss.is_name_parse(F.col("p"), F.col("f"), F.col("g"))).collect()] == [True, True, True, False, False]
     assert one(spark, ["ab", "a b c", None, "q1w2e"], gloss.is_useful_gloss) == [False, True, False, True]
     assert one(spark, ["One sentence here. And more text that goes on and on", "short"], lambda x: gloss.clip_gloss(x, 30)) == ["One sentence here.", "short"]
 
@@ -152,7 +154,7 @@ def test_times_credits_routes(spark):
 
 
 def test_speakers(spark):
-    assert one(spark, ["Socrates: hm", "Ion replied, yes", "He said: no", "Then Crito spoke", "the Ion: x", None], misc.english_speaker) == ["Socrates", "Ion", None, None, None, None]
+    assert one(spark, ["Socrates: hm", "Ion replied, yes", "He said: no", "Then Crito spoke", "the Ion: x", None, "And said: go", "Which replied: no", "soc. yes", "Cri: no", "Wise Ion: x", "King then inquired what", "IOn said"], misc.english_speaker) == ["Socrates", "Ion", None, None, None, None, None, None, "Socrates", "Cri", "Wise Ion", "King Then", None]
 
 
 def test_beta_code_round_trip(spark):
