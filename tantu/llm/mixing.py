@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tantu.session import written
+from tantu.session import hinted, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"  # of a public tokenizer; the path is a parameter everywhere
 # The public vocabulary's own rule for splitting text before merging.
@@ -73,7 +73,7 @@ def thresholds(tokens: DataFrame, parts: dict[str, float]) -> dict[str, int]:
         if not state:
             break
         frame = spark.createDataFrame([(s, start >> (shift + LEVEL_BITS)) for s, (start, _) in state.items()], "source string, above long")
-        inside = tokens.join(F.broadcast(frame), "source").where(F.shiftright("place", shift + LEVEL_BITS) == F.col("above"))
+        inside = tokens.join(hinted(frame, len(state)), "source").where(F.shiftright("place", shift + LEVEL_BITS) == F.col("above"))
         sums = inside.groupBy("source", F.shiftright("place", shift).alias("section")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
         by_source: dict[str, list[tuple[int, int, int]]] = {}
         for r in sums:
@@ -95,6 +95,7 @@ def thresholds(tokens: DataFrame, parts: dict[str, float]) -> dict[str, int]:
 def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY, seed: int = 9) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, copies; copies 1 or more) and its report.
 
+    Shares are of what the sources with documents supply: where a target has none, the others' shares grow by one factor.
     Report: a row for every source of the targets or the documents: target_share, max_repeat, docs, tokens (available),
     docs_used, copies, tokens_used, share. Documents of no target source, or of a null one, are not used; a target without
     documents has zeros. A source misses its part by less than the tokens of one document. Repeated doc_ids fall on one
@@ -108,12 +109,12 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
         listed.setdefault(r.source, (r.target_share or 0.0, r.max_repeat or 0))
     wanted = spark.createDataFrame([(s, *v) for s, v in listed.items()], "source string, target_share double, max_repeat int")
     sizes_rows = tokens.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    sizes = {r.source: r.tokens for r in sizes_rows.join(F.broadcast(wanted), "source").collect()}
+    sizes = {r.source: r.tokens for r in sizes_rows.join(hinted(wanted, len(listed)), "source").collect()}
     plan = budgets(sizes, [(s, *v) for s, v in listed.items()], total)
     ends = thresholds(tokens.where("n_tokens > 0"), {s: part for s, (_, part) in plan.items() if part > 0})
     rules = spark.createDataFrame([(s, whole, ends.get(s, 0)) for s, (whole, _) in plan.items()], "source string, whole int, until long")
     copies = F.col("whole") + F.when(F.col("place") < F.col("until"), 1).otherwise(0)
-    mix = tokens.join(F.broadcast(rules), "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
+    mix = tokens.join(hinted(rules, len(plan)), "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
     used = mix.groupBy("source").agg(F.count("*").alias("docs_used"), F.sum("copies").alias("copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"))
     whole = used.agg(F.sum("tokens_used")).scalar()
     report = sizes_rows.join(wanted, "source", "full").join(used, "source", "left").select(

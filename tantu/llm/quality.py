@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tantu.session import written
+from tantu.session import hinted, written
 
 KINDS = ("prose", "list", "table", "junk")
 
@@ -210,7 +210,7 @@ def text_types(documents: DataFrame, rounds: int = 40) -> DataFrame:
     _, _, posterior = learn(sorted(counted), rounds)
     rows = [(p, KINDS[int(q.argmax())], *map(float, q)) for p, q in posterior.items()]
     types = spark.createDataFrame(rows, "votes string, kind string, p_prose double, p_list double, p_table double, p_junk double")
-    return held.join(F.broadcast(types), "votes", "left").drop("votes").withColumn("kind", F.coalesce("kind", F.lit("junk")))
+    return held.join(hinted(types, len(rows)), "votes", "left").drop("votes").withColumn("kind", F.coalesce("kind", F.lit("junk")))
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
