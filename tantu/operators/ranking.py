@@ -58,21 +58,22 @@ def prefer_accusative(parses: DataFrame, keys: list[str], form: str = "form") ->
     return rows.withColumn("__has", has).where(~(F.coalesce(ends, F.lit(False)) & participle & F.array_contains(case, "nom.") & (F.col("__has") == 1))).drop("__acc", "__has")
 
 
-def grouped(parses: DataFrame, keys: list[str], order: str = "ord_no") -> DataFrame:
+def grouped(parses: DataFrame, keys: list[str], order: str = "ord_no", best: list[str] | None = None) -> DataFrame:
     """(keys, lemma_key, cls, first, lemma, members): analyses by normal lemma and class, in order of first sight.
 
     A token none of whose analyses is inflected is one group (class indecl) under its most frequent lemma, the first of
-    equals. members: array of structs of the analysis, in order.
+    equals. members: array of structs of the analysis, in order. Of the columns ``best`` the greatest of a group is kept.
     """
     member = F.struct(F.col(order).alias("ord"), "l", "p", "f", "g", "x")
     rows = parses.withColumn("__k", norm_lemma(F.col("l"))).withColumn("__c", pos_class(F.col("p"), F.col("f"))).withColumn("__bare", ~has_slots(F.col("f"))).withColumn("__m", member)
     token = Window.partitionBy(*keys)
+    said = F.coalesce("l", F.lit(""))
     rows = rows.withColumn("__all", F.min("__bare").over(token)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "__k")))
-    modal = F.max_by("__k", F.struct("__n", -F.col(order))).over(token)
-    modal_lemma = F.max_by(F.coalesce("l", F.lit("")), F.struct("__n", -F.col(order))).over(token)
+    modal = F.max_by("__k", F.struct("__n", -F.col(order), "__k")).over(token)
+    modal_lemma = F.max_by(said, F.struct(F.col("__n"), -F.col(order), said)).over(token)
     rows = rows.withColumn("lemma_key", F.when(F.col("__all"), modal).otherwise(F.col("__k"))).withColumn("cls", F.when(F.col("__all"), "indecl").otherwise(F.col("__c"))).withColumn("__lead", F.when(F.col("__all"), modal_lemma))
-    out = rows.groupBy(*keys, "lemma_key", "cls").agg(F.min(order).alias("first"), F.coalesce(F.first("__lead", ignorenulls=True), F.min_by(F.coalesce("l", F.lit("")), order)).alias("lemma"), F.array_sort(F.collect_list("__m")).alias("members"))
-    return out
+    lemma = F.coalesce(F.max("__lead"), F.min_by(said, F.struct(F.col(order), said)))
+    return rows.groupBy(*keys, "lemma_key", "cls").agg(F.min(order).alias("first"), lemma.alias("lemma"), F.array_sort(F.collect_list("__m")).alias("members"), *[F.max(c).alias(c) for c in best or []])
 
 
 def summary(members: Column) -> Column:
@@ -114,7 +115,7 @@ def parse_score(form: Column, l: Column, p: Column, f: Column, x: Column, gloss:
 
 
 def ranked_groups(parses: DataFrame, keys: list[str], frequency: DataFrame, gloss: DataFrame | None = None, order: str = "ord_no", form: str = "form", prose: bool = False) -> DataFrame:
-    """(keys, rank, lemma, cls, score, summary, n): groups of each token, best first; ties in order of first sight.
+    """(keys, rank, lemma, cls, score, summary, n): groups of each token, best first; ties in order of first sight, then by lemma and class.
 
     A group's score is the best of its analyses'; where some lemma is near the form, groups far from it are demoted.
     frequency: (lemma, n). gloss: (l, gl), glosses of lemmas for analyses that have none.
@@ -125,15 +126,12 @@ def ranked_groups(parses: DataFrame, keys: list[str], frequency: DataFrame, glos
     rows = rows.join(frequency.select(F.col("lemma").alias("__fl"), F.col("n").alias("__freq")), "__fl", "left")
     deva = F.when(has_devanagari(F.col(form)), F.col(form)).otherwise(iast_to_dev(F.col(form)))
     rows = rows.withColumn("__score", parse_score(F.col(form), F.col("l"), F.col("p"), F.col("f"), F.col("x"), F.col("g"), F.col("__freq"), prose)).withColumn("__near", affinity(norm_lemma(deva), norm_lemma(F.col("l"))))
-    best = rows.groupBy(*keys, order).agg(F.max("__score").alias("__score"), F.max("__near").alias("__near"))
-    groups = grouped(rows, keys, order)
-    each = groups.select("*", F.explode(F.transform("members", lambda m: m["ord"])).alias(order)).join(best, [*keys, order])
-    scored = each.groupBy(*keys, "lemma_key", "cls", "first", "lemma", "members").agg(F.max("__score").alias("score"), F.max("__near").alias("near"))
+    scored = grouped(rows, keys, order, ["__score", "__near"])
     token = Window.partitionBy(*keys)
-    demoted = (F.max("near").over(token) >= STRONG) & (F.col("near") < WEAK)
-    scored = scored.withColumn("score", F.col("score") + F.when(demoted, DEMOTED).otherwise(0))
-    rank = F.row_number().over(token.orderBy(F.desc("score"), "first"))
-    return scored.select(*keys, rank.alias("rank"), "lemma", "cls", F.round("score", 6).alias("score"), summary(F.col("members")).alias("summary"), F.size("members").alias("n"), "members")
+    demoted = (F.max("__near").over(token) >= STRONG) & (F.col("__near") < WEAK)
+    scored = scored.withColumn("score", F.round(F.col("__score") + F.when(demoted, DEMOTED).otherwise(0), 6))
+    rank = F.row_number().over(token.orderBy(F.desc("score"), "first", "lemma_key", "cls"))
+    return scored.select(*keys, rank.alias("rank"), "lemma", "cls", "score", summary(F.col("members")).alias("summary"), F.size("members").alias("n"), "members")
 
 
 def top_parses(ranked: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tantu.functions import feats, gloss, keys, misc, translit
 from tantu.operators import build, lookup, ordered, ranking, reading, search, stores
-from tantu.plans import duck
+from tantu.plans import duck, duckrank
 from tantu.plans.duck import ELEMENTS, PLACED, TOKENS, quote
 from tantu.session import table
 
@@ -719,3 +719,10 @@ def parse_views(t):
     e = t("morph_entries").where("slp_key is not null").dropDuplicates(["entry_id"])
     glossed = lookup.source_glosses(e, lookup.gloss_table(t("headwords")), ["entry_id"]).select("entry_id", "source_gloss")
     return e.join(glossed, "entry_id").select("entry_id", gloss.view_model(F.col("l"), F.col("p"), F.col("f"), F.col("source_gloss")).alias("v")).select("entry_id", "v.*")
+
+
+SQL |= duckrank.SQL
+SQL["folded_analyses"] = f"""with {_INDEX}, tk as (select distinct work_id, form from toks where not regexp_matches(form, '[\\x{{0900}}-\\x{{097F}}]')), kd as (select work_id, tk.form, coalesce(idx.key, {duck.slp1_key_for("translate(tk.form, 'ṁ', 'ṃ')")}) as key from tk left join idx on tk.form = idx.form),
+ e as (select distinct entry_id, slp_key as key, ord_no, l, p, f from morph_entries), fd as (select work_id, form, key, ord_no, l, p, f from kd join e using (key)),
+ nm as (select *, unnest([form, {duck.strip_accents("translate(lower(form), 'ṁ', 'ṃ')")}, translate(lower(form), 'ṁ', 'ṃ')]) as name from fd)
+ select distinct work_id, name as form, key, ord_no, l, p, f from nm where name = form or not exists (select 1 from tk where tk.work_id = nm.work_id and tk.form = nm.name)"""
