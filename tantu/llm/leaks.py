@@ -194,11 +194,13 @@ def shortest_window(items: DataFrame, most: int = GRAM) -> int:
 
 
 def gram_bitmap(grams: DataFrame) -> tuple[np.ndarray, int]:
-    """(bitmap, bits) of the column gram: 16 bits an n-gram, MOST_BITS at most; its words are gathered, never the n-grams."""
+    """(bitmap, bits) of the column gram: two bits set of 32 an n-gram, MOST_BITS at most; its words are gathered, never the
+    n-grams."""
     n = grams.agg(F.approx_count_distinct("gram")).first()[0]
-    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
-    spot = F.col("gram").bitwiseAND(F.lit(bits - 1))
-    words_ = grams.select(F.shiftright(spot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(31)).cast("int")).alias("bit"))
+    bits = min(MOST_BITS, 1 << max(16, (32 * n).bit_length()))
+    spot = F.col("spot").bitwiseAND(F.lit(bits - 1))
+    spots = grams.select(F.explode(F.array("gram", F.shiftrightunsigned("gram", 32))).alias("spot"))
+    words_ = spots.select(F.shiftright(spot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), spot.bitwiseAND(F.lit(31)).cast("int")).alias("bit"))
     rows = words_.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()  # bits / 32 rows at most
     table = np.zeros(bits // 32, np.uint32)
     table[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).astype(np.uint32)
@@ -218,8 +220,10 @@ def document_grams(documents: DataFrame, bitmap: np.ndarray, bits: int, gram: in
                 hashes = gram_hashes(plain, gram)
                 if not plain.isascii() and _HAN.search(plain):
                     hashes = np.concatenate([hashes, gram_hashes(plain, HAN_GRAM)])
-                spot = hashes & mask
-                hits = hashes[(table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)]
+                for spot in (hashes & mask, None):  # the second bit is looked up for those that have the first
+                    spot = hashes >> 32 & mask if spot is None else spot
+                    hashes = hashes[(table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)]
+                hits = hashes
                 if len(hits):
                     hits = np.unique(hits)
                     idents.append(ident)
@@ -242,9 +246,9 @@ def seeded_pairs(documents: DataFrame, items: DataFrame, gram: int, runs: bool,
     windows = written(spark, item_windows(items, gram), "windows")
     hits = written(spark, document_grams(documents, *gram_bitmap(windows), gram), "hits")
     places = windows.select("item", "at", "gram").distinct()
-    held = hits.join(windows.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))  # a row for each document
+    held = hits.groupBy("gram").agg(F.count("*").alias("df"))  # a row for each document
     first = windows.join(held, "gram").groupBy("item", "window").agg(F.min(F.struct("df", "at", "gram")).alias("s"))
-    seeds = first.select("item", F.col("s.gram").alias("gram")).distinct()
+    seeds = written(spark, first.select("item", F.col("s.gram").alias("gram")).distinct(), "seeds")
     if runs:
         return hits.join(seeds, "gram").groupBy("doc_id", "item").agg(F.collect_set("gram").alias("grams"))
     few = F.greatest(F.lit(1.0), documents.agg((F.count("*") * rare).alias("n")).scalar())
