@@ -726,3 +726,8 @@ SQL["folded_analyses"] = f"""with {_INDEX}, tk as (select distinct work_id, form
  e as (select distinct entry_id, slp_key as key, ord_no, l, p, f from morph_entries), fd as (select work_id, form, key, ord_no, l, p, f from kd join e using (key)),
  nm as (select *, unnest([form, {duck.strip_accents("translate(lower(form), 'ṁ', 'ṃ')")}, translate(lower(form), 'ṁ', 'ṃ')]) as name from fd)
  select distinct work_id, name as form, key, ord_no, l, p, f from nm where name = form or not exists (select 1 from tk where tk.work_id = nm.work_id and tk.form = nm.name)"""
+SQL["morph_with_fallbacks"] = f"""with {TOKENS}, {_KNOWN}, sh as ({SQL['morph_shards']}), wk as (select distinct {duck.slp1_key('form')} as key from toks), x as (select key from wk where regexp_matches(key, '^[a-z~]+$') and key not in (select key from sh)),
+ t1 as (select key, left(key, length(key) - c) as stem, c from (select key, unnest([1, 2]) as c from x) where length(key) - c >= 3), t2 as (select key, arg_min(stem, c) as stem from t1 where stem in (select key from sh) group by key),
+ y as (select key, left(key, n) as stem, n from (select key, unnest(range(3, length(key))) as n from x where key not in (select key from t2))), mw as (select key, arg_max(stem, n) as stem from y where stem in (select key from known) group by key)
+ select * from sh union all select left(t2.key, 1), t2.key, sh.ord, sh.l, sh.p, case when coalesce(sh.f, '') = '' then '(inferred)' else sh.f || ';(inferred)' end from t2 join sh on t2.stem = sh.key
+ union all select left(key, 1), key, 0, {duck.iast_to_dev(duck.slp1_to_iast('stem'))}, 'stem', '(inferred)' from mw"""

@@ -121,3 +121,26 @@ def canonical_keys(x: str) -> str:
     plain = f"translate({x}, '''’', '')"
     keys = f"[replace({slp1_key(plain)}, '''', ''), replace(case when regexp_matches({plain}, '[\\x{{0900}}-\\x{{097F}}]') then {slp1_key(dev_to_iast(plain))} else {roman_key(plain)} end, '''', '')]"
     return f"(select list_filter(ks, lambda k, i: regexp_matches(k, '^[a-z~]+$') and list_position(ks, k) = i) from (select {keys} as ks))"
+
+
+def iast_to_dev(x: str) -> str:
+    """IAST to Devanagari: every consonant gets a virama, which a vowel after it turns into its sign."""
+    single, rest = _split(CONSONANTS)
+    out = f"regexp_replace({swap(swap_each(f'nfc_normalize(lower({x}))', rest), single)}, '([{CONS}])', '\\1{VIRAMA}', 'g')"
+    for iast in sorted(MATRAS, key=len, reverse=True):
+        out = f"replace({out}, '{VIRAMA}{iast}', '{MATRAS[iast]}')"
+    single, rest = _split({**VOWELS, **SIGNS} | {str(i): d for i, d in enumerate(DIGITS)})
+    return swap(swap_each(f"replace({out}, '{VIRAMA}a', '')", rest), single)
+
+
+def slp1_to_iast(x: str) -> str:
+    single, rest = _split({v: k for k, v in SLP1.items()})
+    return swap_each(swap(x, single), {k: v for k, v in rest.items() if k != v})
+
+
+def form_keys(x: str) -> str:
+    """Keys of a form and of its hyphen members, each once, in order."""
+    members = f"case when contains({x}, '-') then list_filter(list_transform(string_split({x}, '-'), lambda p: trim(p)), lambda p: p <> '') else [] end"
+    # the keys of one form are a subquery: members are told apart by position
+    each = f"(select list(k order by i, j) from (select i, unnest(ks) as k, unnest(range(len(ks))) as j from (select i, {canonical_keys('fm')} as ks from (select unnest(fs) as fm, unnest(range(len(fs))) as i from (select list_concat([trim({x})], {members}) as fs)))))"
+    return f"(select list_filter(w, lambda k, i: list_position(w, k) = i) from (select coalesce({each}, []) as w))"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tantu.operators import build, lookup, reading, search
-from tantu.plans import corpus
+from tantu.plans import corpus, duck
 from tantu.plans.duck import ELEMENTS, UNITS
 from tantu.session import shared_dir, table
 from tantu.sources import files
@@ -182,3 +182,11 @@ SQL["word_index_files"] = f"with p as ({corpus.SQL['word_index']}) select term,
 SQL["edition_files"] = corpus.SQL["edition_report"]
 SQL["surface_tables"] = f"""with s as ({corpus.SQL['slice_sizes']}), w as ({corpus.SQL['work_slices']}) select 'slice' as kind, slice as part, forms from s where slice is not null
  union all select 'work', work_id, count(*) from w group by work_id"""
+_ROWS = f"""{UNITS}, tk as (select unit_id, work_id, regexp_replace(ref, '\\.[^.]*$', '') as part, i as n, regexp_replace({duck.dev_to_iast('words[i]')}, '\\s', '', 'g') as w from (select *, unnest(range(1, len(words) + 1)) as i from units) where work_id is not null and words[i] <> ''),
+ us as (select work_id, part, unit_id, count(*) as k from tk group by all), up as (select *, row_number() over (partition by work_id, part order by unit_id) - 1 as sentence, coalesce(sum(k + 2) over (partition by work_id, part order by unit_id rows between unbounded preceding and 1 preceding), 0) as start from us),
+ rw as (select tk.work_id, tk.part, tk.unit_id, n, sentence, start + row_number() over (partition by tk.unit_id order by n) as line_no, lower(w) as form, {duck.iast_to_dev('w')} as l, '1;' || case when n % 2 = 0 then 'एक' else 'बहु' end as f from tk join up using (unit_id)),
+ en as (select *, len({duck.form_keys('form')}) > 0 and l <> '' as usable from rw), isl as (select *, sum((not usable)::int) over (partition by unit_id order by n) as island from en), ok as (select *, translate(form, '''’', '') as b, row_number() over (partition by unit_id, island order by n) as nth from isl where usable),
+ sp as (select *, lag(b, 1) over w as b1, lag(b, 2) over w as b2, lag(b, 3) over w as b3 from ok window w as (partition by unit_id, island order by n)),
+ ru as (select sentence, line_no, 2 as n, b1 || b as form, l, f from sp where nth >= 2 union all select sentence, line_no, 3, b2 || b1 || b, l, f from sp where nth >= 3 union all select sentence, line_no, 4, b3 || b2 || b1 || b, l, f from sp where nth >= 4),
+ kp as (select *, {duck.form_keys('form')} as ks from ru where length(form) between 8 and 48 and l <> 'न')"""
+SQL["fused_spans"] = f"with {_ROWS} select sentence::bigint as sentence, line_no::int as line_no, n, form, array_to_string(ks, ' ') as keys, l, 'noun' as p, f, n as members from kp where len(ks) > 0"
