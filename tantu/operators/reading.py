@@ -28,6 +28,12 @@ def tokens(units: DataFrame) -> DataFrame:
     return latest_units(units).select("unit_id", "work_id", "ref", F.posexplode("words").alias("token_index", "form"))
 
 
+def work_tokens(token_rows: DataFrame, works: DataFrame) -> DataFrame:
+    """(work_id, form): the distinct words of each catalogued work whose language (sa where none is given) is not Pali."""
+    kept = works.where(F.coalesce("lang", F.lit("sa")) != "pi").select("work_id").distinct()
+    return token_rows.where("form <> ''").select("work_id", "form").distinct().join(kept, "work_id", "left_semi")
+
+
 def ref_place(ref: str = "ref") -> list[Column]:
     """Order of refs: the numbers of their pieces, then the pieces as text (1.2 before 1.10, 1.2 before 1.2a)."""
     pieces = F.split(F.col(ref), r"\.")

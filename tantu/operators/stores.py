@@ -54,7 +54,9 @@ def with_titles(marks: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def as_json(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.to_json(F.struct(*columns)).alias("json"))
+    """One JSON object a row; times keep their microseconds."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return df.select(F.to_json(F.struct(*columns), {"timestampNTZFormat": micros, "timestampFormat": micros + "XXX"}).alias("json"))
 
 
 def read_store(texts: DataFrame, schema: str, column: str = "json") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tantu.operators import build, lookup, reading, search
+from tantu.operators import build, lookup, ordered, ranking, reading, search, stores
 from tantu.plans import corpus, duck
-from tantu.plans.duck import ELEMENTS, UNITS
+from tantu.plans.duck import ELEMENTS, TOKENS, UNITS
 from tantu.session import shared_dir, table
 from tantu.sources import files
 
@@ -97,13 +97,23 @@ def analysis_files(spark, t, folder):
     return back.groupBy(F.regexp_extract("file", "work_id=([^/]*)", 1).alias("work_id"), "word", "morph_in_context").agg(F.count("*").alias("n"))
 
 
-def _annotated(t) -> DataFrame:
-    """Units as annotated sentences: one file for each part of a work, a sentence for each unit, a line for each word."""
+def _annotated(t, ranges: bool = False) -> DataFrame:
+    """Units as annotated sentences: one file for each part of a work, a sentence for each unit, a line for each word.
+
+    With ranges a range row stands over every two words, with both as one form.
+    """
     tokens = reading.tokens(t("work_units")).where("work_id is not null and form is not null and form <> ''")
+    if ranges:  # numbered without gaps, so that a range's two words follow each other
+        tokens = tokens.withColumn("token_index", F.row_number().over(Window.partitionBy("unit_id").orderBy("token_index")) - 1)
     n = F.col("token_index") + 1
-    line = F.concat_ws("\t", n.cast("string"), F.lower(lookup_iast(F.col("form"))), lookup_iast(F.col("form")), F.lit("NOUN"), F.lit("_"), F.concat(F.lit("Case=Nom|Number="), F.when(n % 2 == 0, "Sing").otherwise("Plur")), F.lit("_"), F.lit("_"), F.lit("_"), F.concat(F.lit("OccId="), F.col("unit_id"), F.lit("-"), n))
-    tokens = tokens.withColumn("part", files.part_column(F.col("ref")))
-    sentences = tokens.groupBy("work_id", "part", "unit_id").agg(F.array_sort(F.collect_list(F.struct("token_index", line.alias("line")))).alias("ls"))
+    iast = lookup_iast(F.col("form"))
+    line = F.concat_ws("\t", n.cast("string"), F.lower(iast), iast, F.lit("NOUN"), F.lit("_"), F.concat(F.lit("Case=Nom|Number="), F.when(n % 2 == 0, "Sing").otherwise("Plur")), F.lit("_"), F.lit("_"), F.lit("_"), F.concat(F.lit("OccId="), F.col("unit_id"), F.lit("-"), n))
+    if ranges:
+        after = F.lead(iast).over(Window.partitionBy("unit_id").orderBy("token_index"))
+        over = F.concat_ws("\t", F.concat_ws("-", n.cast("string"), (n + 1).cast("string")), F.lower(F.concat(iast, after)), *[F.lit("_")] * 8)
+        line = F.when((n % 2 == 1) & after.isNotNull(), F.concat_ws("\n", over, line)).otherwise(line)
+    tokens = tokens.withColumn("part", files.part_column(F.col("ref"))).withColumn("line", line)
+    sentences = tokens.groupBy("work_id", "part", "unit_id").agg(F.array_sort(F.collect_list(F.struct("token_index", "line"))).alias("ls"))
     text = F.concat(F.lit("# sent_id = "), F.col("unit_id"), F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n"))
     whole = sentences.groupBy("work_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", text.alias("s")))), lambda x: x["s"]), "\n").alias("value"))
     return whole.select("value", F.concat_ws("-", "work_id", "part").alias("f"))
@@ -182,6 +192,126 @@ SQL["word_index_files"] = f"with p as ({corpus.SQL['word_index']}) select term,
 SQL["edition_files"] = corpus.SQL["edition_report"]
 SQL["surface_tables"] = f"""with s as ({corpus.SQL['slice_sizes']}), w as ({corpus.SQL['work_slices']}) select 'slice' as kind, slice as part, forms from s where slice is not null
  union all select 'work', work_id, count(*) from w group by work_id"""
+
+
+@query(f"""with {UNITS}, x as (select unnest(words) as x from units), w as (select distinct unnest(regexp_split_to_array(x, '\\s+')) as form from x) select distinct form from (select regexp_replace(form, '^[।॥1०.,;:!?“”()\\-]+|[।॥1०.,;:!?“”()\\-]+$', '', 'g') as form from w) where form <> ''
+ union select distinct word from analysis_rows where word <> ''""")
+def sloka_files(spark, t, folder):
+    """Verses of two halves as JSON arrays: their distinct tokens, and the words of the reader's own rows."""
+    u = reading.latest_units(t("work_units"))
+    half = F.floor(F.size("words") / 2).cast("int")
+    verse = F.struct(F.array_join(F.slice("words", F.lit(1), half), " ").alias("spart1"), F.array_join(F.slice("words", half + 1, F.size("words")), " ").alias("spart2"))
+    u.groupBy((F.col("unit_id") % 7).alias("f")).agg(F.to_json(F.collect_list(verse)).alias("value")).write.partitionBy("f").text(folder)
+    return files.read_slokas(spark, f"{folder}/*/*").union(t("analysis_rows").where("word <> ''").select("word")).distinct()
+
+
+@query(f"select distinct {duck.slp1_key_for('u')} as key from headwords where u <> ''")
+def dictionary_dump(spark, t, folder):
+    """Headword keys of a dictionary dump, a record a line."""
+    from tantu.functions.translit import dev_to_slp1
+
+    slp = dev_to_slp1(F.col("u"))
+    t("headwords").where("u <> ''").select(F.concat(F.lit("<L>"), "head_id", F.lit("<pc>1,1<k1>"), slp, F.lit("<k2>"), slp).alias("value")).union(spark.createDataFrame([("<LEND>",), ("no record <k1>x",)], "value string")).write.text(folder)
+    return files.read_headword_keys(spark, folder)
+
+
+@query(f"with {ELEMENTS} select work_id, ref, text as snippet from elements where lang = 'en' and work_id is not null")
+def snippet_files(spark, t, folder):
+    """The translation index: a list of works and entries that point into it, a document for each file of translations."""
+    e = reading.translation_units(t("trans_files")).where("lang = 'en' and work_id is not null")
+    entry = F.array(F.lit("0"), F.col("ref"), F.col("text"))
+    docs = e.groupBy("file_id", "work_id").agg(F.to_json(F.struct(F.lit(1).alias("v"), F.array("work_id").alias("w"), F.collect_list(entry).alias("e"))).alias("value"))
+    docs.select(F.col("file_id").cast("string").alias("f"), "value").write.partitionBy("f").option("maxRecordsPerFile", 1).text(folder)
+    return files.read_snippets(spark, f"{folder}/*/*")
+
+
+@query(corpus.SQL["latest_marks"])
+def store_files(spark, t, folder):
+    """Stores as JSON lines, corrupt ones among them, which read as empty."""
+    kept = stores.latest(corpus._log(t), ["author_key", "work_id"])
+    stores.as_json(kept, ["author_key", "work_id", "ref", "ts"]).union(spark.createDataFrame([("{broken",), ("[]",), ("",)], "json string")).write.text(folder)
+    return stores.read_store(spark.read.text(folder), "author_key string, work_id string, ref string, ts timestamp_ntz", "value").where("author_key is not null")
+
+
+@query(f"select work_id, loose_pct, strict_pct, loose_hits || '/' || words as hits from ({corpus.SQL['coverage_by_work']})")
+def resolution_files(spark, t, folder):
+    """Resolution by work, written as text separated by bars and read back."""
+    files.write_resolution(lookup.coverage(reading.tokens(t("work_units")), corpus._index(t), t("morph_entries").where("slp_key is not null").select(F.col("slp_key").alias("key"))), folder)
+    return spark.read.option("sep", "|").option("header", True).schema("work_id string, loose_pct double, strict_pct double, hits string").csv(folder)
+
+
+@query(f"select work_id, ref, token_index, l, g from ({corpus.SQL['verse_order']}) where work_id is not null")
+def occurrence_edition_files(spark, t, folder):
+    """A source-locked edition as text, occurrence shards by chapter and an index of refs; the shards read back."""
+    placed, _ = build.occurrence_rows(t("analysis_rows").distinct())
+    files.write_edition(placed.where("work_id is not null"), folder)
+    rows = files.read_occurrences(spark, f"{folder}/shards/*/*/*")
+    first = F.element_at("parses", 1)
+    return rows.select(F.regexp_extract("file", "work_id=([^/]*)", 1).alias("work_id"), "ref", "token_index", first["l"].alias("l"), first["g"].alias("g"))
+
+
+_PAIRS = f"""{UNITS}, tk as (select unit_id, n, regexp_replace({duck.dev_to_iast('form')}, '\\s', '', 'g') as w from (select unit_id, row_number() over (partition by unit_id order by i) as n, words[i] as form from (select *, unnest(range(1, len(words) + 1)) as i from units) where work_id is not null and words[i] <> '')),
+ pr as (select lower(a.w) || lower(b.w) as form, case when b.w <> '' then b.w else a.w end as lw, b.n from tk a join tk b on a.unit_id = b.unit_id and a.n % 2 = 1 and b.n = a.n + 1),
+ kk as (select form, {duck.form_keys('form')} as ks, {duck.iast_to_dev('lw')} as l, n from pr)"""
+
+
+@query(f"""with {_PAIRS} select form, array_to_string(ks, ' ') as keys, l, '1;एक' as f, 2 as members from kk where l <> '' and len(list_filter(ks, lambda k: length(k) % 2 = 0)) > 0""")
+def compound_files(spark, t, folder):
+    """Pairs of tokens under range rows, as compounds of annotated sentences; those with an allowed key, here of an even number of letters."""
+    _annotated(t, ranges=True).repartition("f").write.partitionBy("f").option("maxRecordsPerFile", 1).text(folder)
+    rows = files.annotated_rows(files.annotated_lines(spark, f"{folder}/*/*"))
+    found = files.compound_entries(rows).withColumn("n", F.lit(1))
+    kept = files.gated(found, found.select(F.explode("keys").alias("key")).where("length(key) % 2 = 0"))
+    return kept.select("form", F.array_join("keys", " ").alias("keys"), "l", "f", F.size("m").alias("members"))
+
+
+_SIDE = {"पुं": "Gender=Masc", "स्त्री": "Gender=Fem", "नपुं": "Gender=Neut", "एक": "Number=Sing", "द्वि": "Number=Dual", "बहु": "Number=Plur", "उत्तम": "Person=1", "मध्यम": "Person=2", "प्रथम": "Person=3", "लट्": "Mood=Ind|Tense=Pres", "लङ्": "Mood=Ind|Tense=Impf", "लृट्": "Mood=Ind|Tense=Fut", "लिट्": "Tense=Perf", "लोट्": "Mood=Imp|Tense=Imp", "सम्बोधन": "Case=Voc", "Cpd": "Case=Cpd"}
+_SIDE |= {str(i + 1): f"Case={c}" for i, c in enumerate(("Nom", "Acc", "Ins", "Dat", "Abl", "Gen", "Loc"))}
+_TAGGED = "(select list_filter(ts, lambda x: x in ({0})) from (select string_split(f, ';') as ts))"
+_NOMINAL = [_TAGGED.format("'पुं', 'स्त्री', 'नपुं'"), _TAGGED.format("'1', '2', '3', '4', '5', '6', '7', 'सम्बोधन', 'Cpd'"), _TAGGED.format("'एक', 'द्वि', 'बहु'")]
+_FINITE = [_TAGGED.format("'लट्', 'लङ्', 'लृट्', 'लिट्', 'लोट्'"), _TAGGED.format("'उत्तम', 'मध्यम', 'प्रथम'"), _NOMINAL[2]]
+_PLAIN = "p in ('noun', 'verb') and regexp_matches(f, '^[^;,|/ \"；、]+(;[^;,|/ \"；、]+)*$') and len(list_distinct(string_split(f, ';'))) = len(string_split(f, ';')) and list_has_all([{0}], string_split(f, ';'))"
+
+
+@query(f"""with e as (select distinct entry_id, p, f from morph_entries where {_PLAIN.format(', '.join(map(duck.quote, _SIDE)))}), s as (select entry_id, p, case when p = 'noun' then [{', '.join(_NOMINAL)}] else [{', '.join(_FINITE)}] end as g, f from e)
+ select entry_id, p, array_to_string(flatten(g), ';') as f from s where list_max(list_transform(g, lambda x: len(x))) <= 1""")
+def mapped_features(spark, t, folder):
+    """Tags of morph entries written as features of the annotation scheme, in its order, and mapped back to tags."""
+    from tantu.functions import feats
+
+    e = t("morph_entries").select("entry_id", "p", "f").distinct().where(F.col("p").isin("noun", "verb"))
+    tags = F.split("f", ";")
+    known = F.array(*[F.lit(k) for k in _SIDE])
+    e = e.where((F.size(F.array_except(tags, known)) == 0) & (F.size(F.array_distinct(tags)) == F.size(tags)))
+    side = F.create_map(*[F.lit(x) for kv in _SIDE.items() for x in kv])
+    pairs = F.array_sort(F.flatten(F.transform(tags, lambda x: F.split(side[x], r"\|"))))
+    names = F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
+    e = e.where(F.size(F.array_distinct(names)) == F.size(names))
+    once = F.when(F.col("p") == "noun", F.forall(names, lambda x: x.isin("Gender", "Case", "Number"))).otherwise(F.lit(True))
+    e.where(once).select("entry_id", F.concat_ws("\t", F.col("entry_id").cast("string"), F.lit("a"), F.lit("a"), F.when(F.col("p") == "noun", "NOUN").otherwise("VERB"), F.lit("_"), F.array_join(pairs, "|")).alias("value")).select("value").write.text(folder)
+    c = F.split("value", "\t")
+    upos, parsed = c[3], feats.parse_feats(c[5])
+    return spark.read.text(folder).select(c[0].cast("bigint").alias("entry_id"), feats.map_pos(upos, parsed).alias("p"), feats.map_feats(upos, parsed).alias("f"))
+
+
+@query(f"""with {corpus._OCC}, {TOKENS}, one as (select work_id, ref, token_index, min({{l: parses[1]->>'l', p: parses[1]->>'p', f: parses[1]->>'f'}}) as o from occ group by all), tp as ({corpus.SQL['top_parses']}), du as (select form, min({{l: l, p: p, f: f}}) as t, min(hidden) as hidden from tp group by form)
+ select unit_id, toks.token_index, toks.form, coalesce(o, t).l as l, coalesce(o, t).p as p, coalesce(o, t).f as f, case when o is not null then 'occurrence' when t is not null then 'ranked' end as source, case when o is null then hidden end as hidden
+ from toks left join one on toks.work_id = one.work_id and toks.ref = one.ref and toks.token_index = one.token_index left join du on toks.form = du.form""")
+def shown_parses(spark, t, folder):
+    """The parse under each token of the units: of its occurrence, else the best ranked of its form."""
+    tokens = reading.tokens(t("work_units"))
+    occ = reading.with_occurrence(tokens, reading.occurrence_parses(t("occ_index"))).where("parse is not null").select("unit_id", "token_index", "parse.l", "parse.p", "parse.f")
+    best = ordered.first_by(ranking.top_parses(corpus._ranked(t), ["form"]).select("form", "l", "p", "f", "hidden"), ["form"], ["l", "p", "f", "hidden"])
+    top = tokens.select("unit_id", "token_index", "form").join(best, "form").drop("form")
+    return ranking.shown_parses(tokens.select("unit_id", "token_index", "form"), occ, top, ["unit_id", "token_index"])
+
+
+@query(f"with {TOKENS} select distinct work_id, form from toks where form <> '' and work_id in (select work_id from works where coalesce(lang, 'sa') <> 'pi')")
+def work_tokens(spark, t, folder):
+    """The token set of each catalogued work, less those whose language is Pali."""
+    return reading.work_tokens(reading.tokens(t("work_units")), t("works"))
+
+
 _ROWS = f"""{UNITS}, tk as (select unit_id, work_id, regexp_replace(ref, '\\.[^.]*$', '') as part, i as n, regexp_replace({duck.dev_to_iast('words[i]')}, '\\s', '', 'g') as w from (select *, unnest(range(1, len(words) + 1)) as i from units) where work_id is not null and words[i] <> ''),
  us as (select work_id, part, unit_id, count(*) as k from tk group by all), up as (select *, row_number() over (partition by work_id, part order by unit_id) - 1 as sentence, coalesce(sum(k + 2) over (partition by work_id, part order by unit_id rows between unbounded preceding and 1 preceding), 0) as start from us),
  rw as (select tk.work_id, tk.part, tk.unit_id, n, sentence, start + row_number() over (partition by tk.unit_id order by n) as line_no, lower(w) as form, {duck.iast_to_dev('w')} as l, '1;' || case when n % 2 = 0 then 'एक' else 'बहु' end as f from tk join up using (unit_id)),

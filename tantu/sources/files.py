@@ -250,18 +250,29 @@ def sentence_edition(rows: DataFrame) -> DataFrame:
     return once.select(F.concat(F.lit("dcs-"), "sent_id").alias("ref"), index.alias("token_index"), iast_to_dev(F.col("form")).alias("word"), "l", "p", "f", F.coalesce(occ, F.concat_ws(":", base, "sent_id", "id")).alias("r"))
 
 
+_TEXT = "struct<_VALUE: string>"
+_INFL = f"struct<{', '.join(f'{tag}: {_TEXT}' for tag in ('pofs', 'mood', 'tense', 'voice', 'person', 'pers', 'gend', 'case', 'num'))}, stemtype: array<{_TEXT}>, derivtype: array<{_TEXT}>, dialect: array<{_TEXT}>, dial: array<{_TEXT}>>"
+_ENTRY = f"dict struct<hdwd: {_TEXT}>, infl array<{_INFL}>"
+
+
 def read_xml_analyses(texts: DataFrame, column: str = "xml") -> DataFrame:
-    """(entry, infl, l, p, f, x) of morphology answers in XML, whatever their namespaces; malformed ones give no rows."""
-    plain = F.regexp_replace(F.regexp_replace(column, r"<(/?)[A-Za-z0-9_.-]+:", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    entries = texts.select(F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)<entry\b.*?</entry>"), F.lit(0))).alias("entry", "e"))
-    one = lambda e, tag: F.trim(F.regexp_replace(F.regexp_extract(e, f"(?s)<{tag}\\b[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", ""))
-    lemma = F.trim(F.element_at(F.split(one(F.col("e"), "hdwd"), ","), -1))
-    infl = entries.select("entry", lemma.alias("l"), F.posexplode(F.regexp_extract_all("e", F.lit(r"(?s)<infl\b.*?</infl>"), F.lit(0))).alias("infl", "i"))
-    pos = one(F.col("i"), "pofs")
-    some = lambda tag: F.nullif(feature_abbr(one(F.col("i"), tag)), F.lit(""))
+    """(entry, infl, l, p, f, x) of morphology answers in XML, whatever their namespaces and however deep the entries lie.
+
+    Entries are cut out and parsed as XML, entities and CDATA included; malformed ones give no rows.
+    """
+    plain = F.regexp_replace(F.regexp_replace(column, r"<(/?)[A-Za-z0-9_.-]+:", "<$1"), r"\s(?:xmlns(?::\w+)?|\w+:\w+)=\"[^\"]*\"", "")
+    whole_ = F.regexp_extract_all(plain, F.lit(r"(?s)<entry\b.*?</entry>"), F.lit(0))
+    parsed = F.from_xml("e", _ENTRY, {"mode": "PERMISSIVE"})
+    entries = texts.select(F.posexplode(whole_).alias("entry", "e")).select("entry", parsed.alias("e"))
+    said = lambda c: F.trim(F.coalesce(c["_VALUE"], F.lit("")))
+    lemma = F.trim(F.element_at(F.split(said(F.col("e.dict.hdwd")), ","), -1))
+    infl = entries.select("entry", lemma.alias("l"), F.posexplode("e.infl").alias("infl", "i"))
+    pos = said(F.col("i.pofs"))
+    some = lambda *tags: F.coalesce(*[F.nullif(feature_abbr(said(F.col(f"i.{tag}"))), F.lit("")) for tag in tags])
     mood = F.when(F.lower(pos) == "participle", F.lit("part")).otherwise(some("mood"))
-    stems = F.array_join(F.transform(F.regexp_extract_all("i", F.lit(r"(?s)<(?:stemtype|derivtype)\b[^>]*>(.*?)</"), F.lit(1)), lambda s: F.trim(s)), ",")
-    dialects = F.array_join(F.transform(F.regexp_extract_all("i", F.lit(r"(?s)<(?:dialect|dial)\b[^>]*>(.*?)</"), F.lit(1)), lambda s: F.trim(s)), " ")
+    every = lambda *tags: F.concat(*[F.coalesce(F.col(f"i.{tag}"), F.array().cast(f"array<{_TEXT}>")) for tag in tags])
+    stems = F.array_join(F.transform(every("stemtype", "derivtype"), said), ",")
+    dialects = F.array_join(F.transform(every("dialect", "dial"), said), " ")
     x = F.concat_ws("|", F.nullif(dialects, F.lit("")), F.nullif(stems, F.lit("")))
     f = F.concat_ws(" ", some("tense"), mood, some("voice"), some("person"), some("gend"), some("case"), some("num"))
     return infl.select("entry", "infl", "l", pos_code(pos).alias("p"), f.alias("f"), x.alias("x"))
@@ -279,6 +290,43 @@ def write_surface(index: DataFrame, by_work: DataFrame, path: str) -> None:
     by_work.repartition("work_id").write.mode("overwrite").partitionBy("work_id").parquet(f"{path}/by-work")
 
 
+def write_edition(placed: DataFrame, path: str, edition: str = "source-locked") -> None:
+    """A source-locked edition (work_id, ref, token_index, word, l, p, f, g): ``text``, ``shards`` and ``index`` by work.
+
+    text: the work's units. shards: by chapter, refs to token places to a list of one parse, sure and of the source. index:
+    in which shard each ref lies. What was there before is replaced.
+    """
+    chapter = F.substring_index("ref", ".", 1)
+    parse = F.struct("l", "p", "f", "g", F.lit("dcs").alias("source"), F.lit(1.0).alias("confidence"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("token_index", "word"))), lambda x: x["word"])
+    tokens = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("token_index").cast("string"), F.array(parse)))))
+    refs = placed.groupBy("work_id", "ref").agg(words.alias("words"), tokens.alias("tokens")).withColumn("chapter", chapter)
+    text = F.to_json(F.struct(F.first("work_id").alias("id"), F.lit(edition).alias("edition"), F.array_sort(F.collect_list(F.struct("ref", "words"))).alias("units")))
+    refs.groupBy("work_id").agg(text.alias("value")).write.mode("overwrite").partitionBy("work_id").text(f"{path}/text")
+    shard = F.to_json(F.map_from_entries(F.collect_list(F.struct("ref", "tokens"))))
+    refs.groupBy("work_id", "chapter").agg(shard.alias("value")).write.mode("overwrite").partitionBy("work_id", "chapter").text(f"{path}/shards")
+    index = F.to_json(F.struct(F.lit("dcs").alias("source"), F.lit(edition).alias("edition"), F.map_from_entries(F.collect_list(F.struct("ref", F.concat(F.lit("chapter="), "chapter")))).alias("refs")))
+    refs.groupBy("work_id").agg(index.alias("value")).write.mode("overwrite").partitionBy("work_id").text(f"{path}/index")
+
+
+def ordered_files(spark: SparkSession, roots: list[str], pattern: str, least: int = 0) -> list[str]:
+    """The files of several roots, root by root in the order given, sorted by path within each.
+
+    A root that is not there, or fewer than ``least`` files in all, is an error at once.
+    """
+    found: list[str] = []
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            raise FileNotFoundError(root)
+        hits = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}"))
+        found += sorted(h.getPath().toString() for h in hits or [])
+    if len(found) < least:
+        raise ValueError(f"{len(found)} files where {least} are wanted")
+    return found
+
+
 def write_report(report: DataFrame, path: str, mode: str = "append") -> None:
     report.coalesce(1).write.mode(mode).json(path)
 
