@@ -10,11 +10,12 @@ from tantu.functions.keys import initial_slice, row_keys
 from tantu.functions.translit import iast_to_dev, slp1_to_iast
 from tantu.operators.lookup import fallback_stems
 from tantu.operators.ordered import ordered_dedupe
+from tantu.session import spread
 
 
 def analysis_entries(rows: DataFrame) -> DataFrame:
     """(key, l, p, f, row_id, pos): analyses of each row under each of its keys; rows without either are left out."""
-    keyed = rows.select("row_id", parse_analysis(F.col("morph_analysis")).alias("a"), row_keys(F.col("sandhied_word"), F.col("word"), F.col("morph_in_context")).alias("k"))
+    keyed = spread(rows.select("row_id", "morph_analysis", "sandhied_word", "word", "morph_in_context"), "row_id").select("row_id", parse_analysis(F.col("morph_analysis")).alias("a"), row_keys(F.col("sandhied_word"), F.col("word"), F.col("morph_in_context")).alias("k"))
     return keyed.select("row_id", F.explode("k").alias("key"), "a").select("row_id", "key", F.posexplode("a").alias("pos", "e")).select("key", "e.l", "e.p", "e.f", "row_id", "pos")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tantu.functions.keys import canonical_keys, dict_keys, hyphen_members, is_punctuation, key_variants, trusted_keys
 from tantu.functions.translit import slp1_key_for, strip_accents
 from tantu.operators.ordered import first_by, longest_prefix, suffix_trim, tries
+from tantu.session import spread
 
 
 def surface_index(forms: DataFrame, keys: DataFrame, least: int = 4) -> DataFrame:
@@ -16,7 +17,7 @@ def surface_index(forms: DataFrame, keys: DataFrame, least: int = 4) -> DataFram
     forms: ``form``; keys: ``key``. Tiers: exact, member, prefix. Among prefixes the form's first key spelling comes before
     longer ones of its other spelling. Punctuation and forms without any hit give no row.
     """
-    distinct = forms.select("form").where(F.col("form").isNotNull() & (F.col("form") != "")).distinct().where(~is_punctuation(F.col("form")))
+    distinct = spread(forms.select("form").where(F.col("form").isNotNull() & (F.col("form") != "")).distinct(), "form").where(~is_punctuation(F.col("form")))
     known = keys.select("key").distinct()
     # one join finds the exact hits and keeps every form's spellings for what comes next
     spelled = distinct.select("form", F.posexplode_outer(canonical_keys(F.col("form"))).alias("no", "key")).join(known.withColumn("hit", F.lit(True)), "key", "left")
@@ -59,7 +60,7 @@ def analyses(forms: DataFrame, index: DataFrame, morph: DataFrame) -> DataFrame:
     Candidates: the index's key, and for roman forms also the form without accents; the first that the morph table has
     counts. A key is trusted if it is one of the form's own spellings, so prefix matches of the index don't pass.
     """
-    keyed = forms.select("form").distinct().join(index.select("form", F.col("key").alias("via")), "form", "left")
+    keyed = spread(forms.select("form").distinct().join(index.select("form", F.col("key").alias("via")), "form", "left"), "form")
     candidates = F.array_distinct(F.array_compact(F.array(F.col("via"), F.when(~F.col("form").rlike("[\\u0900-\\u097F]"), strip_accents(F.col("form"))))))
     tried = tries(keyed.select("form", candidates.alias("c")), F.col("c"), "no", "key").where(F.array_contains(trusted_keys(F.col("form")), F.col("key")))
     known = morph.select(F.col("slp_key").alias("key")).distinct()
@@ -82,7 +83,7 @@ def glosses(lemmas: DataFrame, gloss: DataFrame, filled: bool = False) -> DataFr
     """
     table = gloss.where("g is not null and g <> ''") if filled else gloss
     table = first_by(table.select("key", "u", "g"), ["key"], ["u", "g"])
-    tried = tries(lemmas.select("lemma").where("lemma is not null").distinct(), F.concat(dict_keys(F.col("lemma")), F.array(slp1_key_for(strip_accents(F.col("lemma"))))), "no", "key")
+    tried = tries(spread(lemmas.select("lemma").where("lemma is not null").distinct(), "lemma"), F.concat(dict_keys(F.col("lemma")), F.array(slp1_key_for(strip_accents(F.col("lemma"))))), "no", "key")
     hits = tried.join(table, "key")
     return first_by(hits.select("lemma", "no", "key", "u", "g"), ["lemma"], ["no"]).select("lemma", "key", "u", "g")
 
@@ -133,7 +134,7 @@ def coverage(token_rows: DataFrame, index: DataFrame, morph_keys: DataFrame) ->
     Counted by occurrence; forms are resolved once each. Punctuation doesn't count.
     """
     counted = token_rows.groupBy("work_id", "form").agg(F.count("*").alias("n")).where(~is_punctuation(F.col("form")))
-    forms = counted.select("form").distinct()
+    forms = spread(counted.select("form").distinct(), "form")
     spellings = F.concat(canonical_keys(F.col("form")), F.flatten(F.transform(hyphen_members(F.col("form")), canonical_keys)))
     strict = forms.select("form", F.explode(spellings).alias("key")).join(morph_keys.select("key").distinct(), "key", "left_semi").select("form").distinct().withColumn("strict", F.lit(1))
     loose = index.select("form").distinct().withColumn("loose", F.lit(1))

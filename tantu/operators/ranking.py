@@ -10,6 +10,7 @@ from tantu.functions.gloss import gloss_identity, is_name_gloss
 from tantu.functions.misc import affinity, dialect_tags, plausible_lemma
 from tantu.functions.translit import has_devanagari, iast_to_dev, strip_accents
 from tantu.operators.ordered import ordered_dedupe
+from tantu.session import spread
 
 # Weights of the ranking.
 FREQUENCY = 10
@@ -120,7 +121,7 @@ def ranked_groups(parses: DataFrame, keys: list[str], frequency: DataFrame, glos
     A group's score is the best of its analyses'; where some lemma is near the form, groups far from it are demoted.
     frequency: (lemma, n). gloss: (l, gl), glosses of lemmas for analyses that have none.
     """
-    rows = prefer_accusative(parses, keys, form)
+    rows = spread(prefer_accusative(parses, keys, form), *keys)
     rows = rows.join(gloss, "l", "left") if gloss is not None else rows.withColumn("gl", F.lit(None).cast("string"))
     rows = rows.withColumn("g", F.coalesce("g", "gl")).withColumn("__fl", strip_accents(F.coalesce("l", F.lit(""))))
     rows = rows.join(frequency.select(F.col("lemma").alias("__fl"), F.col("n").alias("__freq")), "__fl", "left")

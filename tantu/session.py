@@ -64,3 +64,11 @@ def drop_written(path: str) -> None:
 def hinted(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """df to be broadcast, if it is known to have ``most`` rows at most; else as the planner decides by its size."""
     return F.broadcast(df) if rows <= most else df
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over all shuffle partitions by a hash of the columns, for short rows with long work.
+
+    Adaptive execution would judge such rows by their bytes and give them to a few tasks; a number that is asked for stays.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))

@@ -9,6 +9,7 @@ from tantu.functions.feats import map_feats, map_pos, parse_feats
 from tantu.functions.keys import form_keys, initial_slice
 from tantu.functions.misc import feature_abbr, pos_code
 from tantu.functions.translit import iast_to_dev
+from tantu.session import spread
 
 PARSE = "l string, p string, f string, g string, x string, r string, source string, confidence double, m array<struct<d: string, l: string, p: string, f: string>>"
 
@@ -177,7 +178,7 @@ def annotated_rows(lines: DataFrame) -> DataFrame:
 
 def annotated_entries(rows: DataFrame) -> DataFrame:
     """Tokens with their analysis: file, line_no, sentence, sent_id, id, form, keys, l, p, f (l null without a lemma)."""
-    tokens = rows.where("kind = 'token'")
+    tokens = spread(rows.where("kind = 'token'"), "file", "sentence")
     feats = parse_feats(F.col("feats"))
     unsandhied = F.regexp_extract(F.coalesce("misc", F.lit("")), r"(?:^|\|)Unsandhied=([^|]*)", 1)
     keys = F.array_distinct(F.concat(form_keys(F.col("form")), F.when(unsandhied != "", form_keys(unsandhied)).otherwise(F.array().cast("array<string>"))))
@@ -225,7 +226,7 @@ def fused_spans(rows: DataFrame, longest: int = 4, least_chars: int = 8, most_ch
     run = F.slice("h", -F.col("n"), F.col("n"))
     runs = runs.select("file", "line_no", "sentence", "n", F.array_join(F.transform(run, lambda x: x["form"]), "").alias("form"), F.transform(run, lambda x: x["m"]).alias("m"))
     last = F.element_at("m", -1)
-    kept = runs.where(F.length("form").between(least_chars, most_chars) & (last["l"] != "न")).withColumn("keys", form_keys(F.col("form"))).where("size(keys) > 0")
+    kept = spread(runs, "file", "line_no").where(F.length("form").between(least_chars, most_chars) & (last["l"] != "न")).withColumn("keys", form_keys(F.col("form"))).where("size(keys) > 0")
     return kept.select("file", "line_no", "sentence", "n", "form", "keys", last["l"].alias("l"), last["p"].alias("p"), last["f"].alias("f"), "m")
 
 
