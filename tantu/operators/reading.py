@@ -138,6 +138,15 @@ def occurrence_index(df: DataFrame, edition: str = "source-locked") -> DataFrame
     return df.where((F.col("source") == "dcs") & (F.col("edition") == edition) & F.col("refs").isNotNull())
 
 
+def _raw_parses(shards: DataFrame, kind) -> DataFrame:
+    """(work_id, ref, token, parses) of documents that are JSON text; what can't be read gives no row."""
+    doc = F.coalesce(F.get_json_object("raw_json", "$.occurrence"), F.col("raw_json"))
+    raw = shards.where("occurrence is null and raw_json is not null").select("work_id", F.explode(F.from_json(doc, "map<string,string>")).alias("ref", "t"))
+    raw = raw.select("work_id", "ref", F.explode(F.from_json("t", "map<string,string>")).alias("token", "ps")).where("ps is not null")
+    listed = F.when(F.ltrim("ps").startswith("["), F.col("ps")).otherwise(F.concat(F.lit("["), "ps", F.lit("]")))
+    return raw.select("work_id", "ref", "token", F.from_json(listed, kind).alias("parses"))
+
+
 def occurrence_parses(df: DataFrame, edition: str = "source-locked", units: DataFrame | None = None) -> DataFrame:
     """(work_id, ref, token_index, parses) of occurrence documents whose parses are all sure: of the source, confidence 1.
 
@@ -153,13 +162,11 @@ def occurrence_parses(df: DataFrame, edition: str = "source-locked", units: Data
     typed = shards.where("occurrence is not null").select("work_id", F.explode("occurrence").alias("ref", "tokens"))
     typed = typed.select("work_id", "ref", F.explode("tokens").alias("token", "parses"))
     kind = typed.schema["parses"].dataType
-    doc = F.coalesce(F.get_json_object("raw_json", "$.occurrence"), F.col("raw_json"))
-    raw = shards.where("occurrence is null and raw_json is not null").select("work_id", F.explode(F.from_json(doc, "map<string,string>")).alias("ref", "t"))
-    raw = raw.select("work_id", "ref", F.explode(F.from_json("t", "map<string,string>")).alias("token", "ps")).where("ps is not null")
-    listed = F.when(F.ltrim("ps").startswith("["), F.col("ps")).otherwise(F.concat(F.lit("["), "ps", F.lit("]")))
-    raw = raw.select("work_id", "ref", "token", F.from_json(listed, kind).alias("parses"))
+    every = typed
+    if "raw_json" in df.columns:
+        every = typed.union(_raw_parses(shards, kind))
     sure = F.forall("parses", lambda p: F.coalesce((p["source"] == "dcs") & (p["confidence"] == 1.0), F.lit(False)))
-    return typed.union(raw).where((F.size("parses") > 0) & sure).select("work_id", "ref", F.col("token").try_cast("int").alias("token_index"), "parses")
+    return every.where((F.size("parses") > 0) & sure).select("work_id", "ref", F.col("token").try_cast("int").alias("token_index"), "parses")
 
 
 def with_occurrence(token_rows: DataFrame, parses: DataFrame) -> DataFrame:

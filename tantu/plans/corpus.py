@@ -59,8 +59,7 @@ def catalog_filter(t):
     return search.catalog_filter(t("works").distinct(), _Q).select("work_id", "author_key", "title", "title_zh", "n_authors", "n_works")
 
 
-@query("""select work_id, title, row_number() over (order by list_transform(regexp_extract_all(lower(coalesce(title, '')), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d+$') then lpad(p, 20, '0') else p end), work_id)::int as place
- from (select distinct work_id, title from documents where work_id is not null and title is not null) qualify place <= 200""")
+@query()
 def natural_titles(t):
     d = t("documents").where("work_id is not null and title is not null").select("work_id", "title").distinct()
     placed = ordered.ranked_overall(d.withColumn("k", misc.natural_key(F.col("title"))), ["k", "work_id", "title"])
@@ -68,7 +67,7 @@ def natural_titles(t):
 
 
 SQL["natural_titles"] = """select work_id, title, row_number() over (order by array_to_string(list_transform(regexp_extract_all(lower(title), '\\d+|\\D+'), lambda p: case when regexp_matches(p, '^\\d+$') then lpad(p, 20, '0') else p end), ''), work_id)::int as place
- from (select distinct work_id, title from documents where work_id is not null and title is not null) qualify place <= 200"""
+ from (select distinct work_id, title from documents where work_id is not null and title is not null)"""
 
 
 @query(f"with {PLACED} select unit_id, work_id, ref, idx, (idx // 30)::int as page, idx % 30 = 0 as opens, idx % 5 = 0 as badge from placed")
@@ -246,15 +245,16 @@ def morph_with_fallbacks(t):
 _ENTRY = "select distinct slp_key, ord_no, l, p, f, g, x, m, built_at from morph_entries"
 
 
-@query(f"""with e as ({_ENTRY}), s as (select *, built_at is not null and built_at >= timestamptz '2023-10-01 00:00:00+00' as late from e where slp_key is not null),
- d as (select slp_key, l, p, f, min({{s: late::int, o: ord_no, b: built_at}}) as place, bool_and(late) as is_new from s group by slp_key, l, p, f)
- select slp_key, l, p, f, (row_number() over (partition by slp_key order by place.s, place.o nulls first, place.b nulls first) - 1)::int as ord, is_new from d
- qualify count(*) over (partition by slp_key, place.s, place.o, place.b) = 1""")
+_MERGE = ["ord_no", "built_at", "l", "p", "f"]  # entries that two deliveries place alike stand in the order of their own values
+_MERGED = f"""e as ({_ENTRY}), s as (select *, built_at is not null and built_at >= timestamptz '2023-10-01 00:00:00+00' as late from e where slp_key is not null),
+ d as (select slp_key, l, p, f, min({{s: late::int, o: coalesce(ord_no, -1), b: coalesce(built_at, timestamptz '1900-01-01 00:00:00+00')}}) as place, bool_and(late) as is_new from s group by slp_key, l, p, f),
+ mg as (select slp_key, l, p, f, (row_number() over (partition by slp_key order by place.s, place.o, place.b, l nulls first, p nulls first, f nulls first) - 1)::int as ord, is_new, strftime(place.b, '%Y-%m') as origin from d)"""
+
+
+@query(f"with {_MERGED} select slp_key, l, p, f, ord, is_new from mg")
 def merged_shards(t):
     existing, new = _halves(t)
-    merged = ordered.ordered_merge(existing, new, ["slp_key"], ["l", "p", "f"], ["ord_no", "built_at"])
-    # entries that two deliveries place alike have no order of their own: they are left out of this comparison
-    return merged.withColumn("__n", F.count("*").over(Window.partitionBy("slp_key", "is_new", "ord_no", "built_at"))).where("__n = 1").select("slp_key", "l", "p", "f", "ord", "is_new")
+    return ordered.ordered_merge(existing, new, ["slp_key"], ["l", "p", "f"], _MERGE).select("slp_key", "l", "p", "f", "ord", "is_new")
 
 
 def _halves(t):
@@ -266,8 +266,8 @@ def _halves(t):
 @query("select 0::bigint as added_again")
 def merge_idempotent(t):
     existing, new = _halves(t)
-    merged = ordered.ordered_merge(existing, new, ["slp_key"], ["l", "p", "f"], ["ord_no", "built_at"]).drop("is_new", "ord")
-    again = ordered.ordered_merge(merged, new, ["slp_key"], ["l", "p", "f"], ["ord_no", "built_at"])
+    merged = ordered.ordered_merge(existing, new, ["slp_key"], ["l", "p", "f"], _MERGE).drop("is_new", "ord")
+    again = ordered.ordered_merge(merged, new, ["slp_key"], ["l", "p", "f"], _MERGE)
     return again.agg(F.count_if("is_new").alias("added_again"))
 
 
@@ -276,7 +276,7 @@ def merge_stats(t):
     existing, new = _halves(t)
     origin = F.date_format("built_at", "yyyy-MM")
     a, b = existing.withColumn("origin", origin), new.withColumn("origin", origin)
-    return ordered.merge_stats(ordered.ordered_merge(a, b, ["slp_key"], ["l", "p", "f"], ["ord_no", "built_at"]), b, ["slp_key"], "origin").drop("new_keys")
+    return ordered.merge_stats(ordered.ordered_merge(a, b, ["slp_key"], ["l", "p", "f"], _MERGE), b, ["slp_key"], "origin")
 
 
 # Lookup ----------------------------------------------------------------------------------------------------------------
@@ -605,23 +605,24 @@ def starred(t):
     return stores.toggled(t("events"), ["user_id", "event_type"])
 
 
-_HALF = "a as (select event_id % 97 as k, min({ts: ts, e: event_type}) as v from events where event_id % 2 = 0 group by all), b as (select event_id % 89 as k, min({ts: ts, e: event_type}) as v from events where event_id % 2 = 1 group by all)"
+_HALF = """h as (select user_id, event_type, event_id % 2 as odd, max({t: ts, e: event_id}) as v from events group by all), a as (select * from h where odd = 0), b as (select * from h where odd = 1)"""
 
 
-@query(f"with {_HALF} select coalesce(a.k, b.k) as k, coalesce(b.v.ts, a.v.ts) as ts, coalesce(b.v.e, a.v.e) as e, a.k is null as added from a full join b on a.k = b.k")
+@query(f"with {_HALF} select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, coalesce(b.v.t, a.v.t) as ts, coalesce(b.v.e, a.v.e) as event_id, a.user_id is null as added from a full join b on a.user_id = b.user_id and a.event_type = b.event_type")
 def vocabulary_import(t):
-    return stores.imported(*_store_halves(t), ["k"], overwrite=True)
+    return stores.imported(*_store_halves(t), ["user_id", "event_type"], overwrite=True)
 
 
-@query(f"with {_HALF} select coalesce(a.k, b.k) as k, coalesce(a.v.ts, b.v.ts) as ts, coalesce(a.v.e, b.v.e) as e, a.k is null as added from a full join b on a.k = b.k")
+@query(f"with {_HALF} select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_type, b.event_type) as event_type, coalesce(a.v.t, b.v.t) as ts, coalesce(a.v.e, b.v.e) as event_id, a.user_id is null as added from a full join b on a.user_id = b.user_id and a.event_type = b.event_type")
 def bookmark_import(t):
-    return stores.imported(*_store_halves(t), ["k"], overwrite=False)
+    return stores.imported(*_store_halves(t), ["user_id", "event_type"], overwrite=False)
 
 
 def _store_halves(t):
-    # which events are of the store and which of the import is part of the case, no selection: both halves are used
-    half = lambda odd, n: t("events").where(F.col("event_id") % 2 == odd).groupBy((F.col("event_id") % n).alias("k")).agg(F.min(F.struct("ts", F.col("event_type").alias("e"))).alias("v")).select("k", "v.ts", "v.e")
-    return half(0, 97), half(1, 89)
+    """Two stores from the log: the latest marks of every user and kind by its even and by its odd events; none is left out."""
+    marks = t("events").select("user_id", "event_type", "ts", "event_id")
+    half = lambda odd: stores.latest(marks.where(F.col("event_id") % 2 == odd), ["user_id", "event_type"])
+    return half(0), half(1)
 
 
 @query("""with s as (select event_id, greatest(1, floor(epoch(timestamp '2024-02-01 00:00:00' - ts) + 0.5)) as s from events), m as (select *, floor(s / 60 + 0.5) as m from s), h as (select *, floor(m / 60 + 0.5) as h from m)
@@ -655,10 +656,10 @@ SQL["token_analyses"] = f"""with {_INDEX}, af as (select distinct form from toks
  c2 as (select form, arg_min(key, no) as key from (select form, ts, unnest(cs) as key, unnest(range(len(cs))) as no from cand) where list_contains(ts, key) and key in (select key from known) group by form),
  e as (select distinct entry_id, slp_key as key, ord_no, l, p, f, g, x from morph_entries), d as (select form, key, ord_no, l, p, f, g, x from c2 join e using (key)),
  al as (select * replace ({duck.strip_accents('form')} as form) from d where {duck.strip_accents('form')} <> form) select distinct * from d union select distinct * from al where form not in (select form from d)"""
-SQL["merge_stats"] = f"""with e as ({_ENTRY}), s as (select slp_key, l, p, f, min({{s: (built_at is not null and built_at >= timestamptz '2023-10-01 00:00:00+00')::int, o: ord_no, b: built_at}}) as place from e where slp_key is not null group by all),
- o as (select *, strftime(place.b, '%Y-%m') as origin, place.s = 1 as is_new from s), n as (select distinct slp_key, ord_no, l, p, f, built_at from e where slp_key is not null and built_at >= timestamptz '2023-10-01 00:00:00+00'),
- seen as (select strftime(built_at, '%Y-%m') as origin, count(*) as entries from n group by 1), added as (select origin, count(*) as added from o where is_new group by 1)
- select origin, entries, coalesce(added, 0) as added from seen left join added using (origin)"""
+SQL["merge_stats"] = f"""with {_MERGED}, n as (select distinct slp_key, ord_no, l, p, f, built_at from e where slp_key is not null and built_at >= timestamptz '2023-10-01 00:00:00+00'),
+ seen as (select strftime(built_at, '%Y-%m') as origin, count(*) as entries from n group by 1), added as (select origin, count(*) as added from mg where is_new group by 1),
+ nk as (select origin, count(*) as new_keys from (select slp_key, bool_and(is_new) as fresh, arg_min(origin, ord) as origin from mg group by slp_key) where fresh group by origin)
+ select origin, entries, coalesce(added, 0) as added, coalesce(new_keys, 0) as new_keys from seen left join added using (origin) left join nk using (origin)"""
 SQL["morph_shards"] = f"""with a as (select distinct * from analysis_rows), t as (select row_id, unnest([sandhied_word, word, nullif(regexp_extract(coalesce(morph_in_context, ''), '^\\s*([^{{}}]+?)\\s*\\{{', 1), '')]) as field from a),
  v as (select row_id, trim(regexp_replace(trim(x), '^[()«»"''“”]+|[()«»"''“”]+$', '', 'g')) as form from (select row_id, unnest(regexp_split_to_array(field, '[;,]')) as x from t where field is not null)),
  w as (select row_id, form from v union select row_id, trim(p) from (select row_id, unnest(string_split(form, '-')) as p from v where contains(form, '-'))), k as (select distinct row_id, {duck.slp1_key('form')} as key from w), vk as (select * from k where regexp_matches(key, '^[a-z~]+$')),

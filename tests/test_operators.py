@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tantu.operators import build, lookup, ordered, ranking, reading, search, stores
@@ -197,3 +198,30 @@ def test_edition_and_fallbacks(spark):
     base = shards.unionByName(spark.createDataFrame([("y", "yoge", 0, "योग", "noun", "पुं")], "letter string, key string, ord int, l string, p string, f string"))
     full = build.with_fallbacks(base, spark.createDataFrame([("yogena",), ("yogaxyz",), ("a",), ("zzz",)], "key string"), more.select("key"))
     assert rows(full.where("key like 'yoge%' or key like 'yoga%'").select("key", "l", "p", "f")) == {("yoge", "योग", "noun", "पुं"), ("yogena", "योग", "noun", "पुं;(inferred)"), ("yogaxyz", "योग्", "stem", "(inferred)")}
+
+
+def test_occurrences_of_both_versions(spark):
+    import json
+
+    sure = {"l": "a", "source": "dcs", "confidence": 1.0}
+    raw = {"1.1": {"0": sure, "1": [sure, {**sure, "confidence": 0.9}], "2": [sure, {**sure, "l": "b"}], "3": None, "4": [], "x": [sure]}}
+    parse = "array<struct<l:string,p:string,f:string,g:string,r:string,source:string,confidence:double,m:array<struct<d:string,l:string,p:string,f:string>>>>"
+    schema = f"shard_id long, work_id string, source string, edition string, refs map<string,string>, occurrence map<string,map<string,{parse}>>, raw_json string"
+    typed = {"2.1": {"0": [("t", None, None, None, None, "dcs", 1.0, None)]}}
+    data = [(1, "w", "dcs", "source-locked", {"1.1": "f"}, None, json.dumps(raw)), (2, "w", "dcs", "source-locked", {"1.2": "f"}, None, json.dumps({"built": 1, "occurrence": {"1.2": {"0": {**sure, "r": 7}}}})),
+            (3, "w", "dcs", "source-locked", {"2.1": "f"}, typed, None), (4, "w", "dcs", "other", {"9": "f"}, typed, None), (5, "w", "dcs", "source-locked", {"3": "f"}, None, "{broken")]
+    df = spark.createDataFrame(data, schema)
+    found = {(r.ref, r.token_index): [p.l for p in r.parses] for r in reading.occurrence_parses(df).collect()}
+    assert found == {("1.1", 0): ["a"], ("1.1", 2): ["a", "b"], ("1.1", None): ["a"], ("1.2", 0): ["a"], ("2.1", 0): ["t"]}
+    units = spark.createDataFrame([("w", "2.1"), ("other", "1.1")], "work_id string, ref string")
+    assert [r.ref for r in reading.occurrence_parses(df, units=units).collect()] == ["2.1"]
+
+
+def test_an_unknown_cluster_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tantu.session import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(session)

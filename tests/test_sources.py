@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from tantu.sources import files
 from tests.conftest import rows
 
@@ -111,3 +112,32 @@ def test_sinks(spark, tmp_path):
     files.write_report(report, str(tmp_path / "r"))
     files.write_report(report, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_xml_entities_cdata_and_depth(spark):
+    xml = "<a><b><c><entry><dict><hdwd>x&amp;y</hdwd></dict><infl><pofs>noun</pofs><stemtype><![CDATA[s<1>]]></stemtype></infl><infl><pofs>verb</pofs></infl></entry></c></b><entry><dict><hdwd>z</hdwd></dict></entry></a>"
+    got = files.read_xml_analyses(spark.createDataFrame([(xml,)], "xml string")).orderBy("infl").collect()
+    assert [(r.entry, r.infl, r.l, r.p, r.x) for r in got] == [(0, 0, "x&y", "N", "s<1>"), (0, 1, "x&y", "V", "")]
+
+
+def test_edition_files_and_their_index(spark, tmp_path):
+    rows_ = [("w", "1.1", 0, "a", "la", "noun", "1", "g"), ("w", "1.1", 1, "b", "lb", "verb", None, None), ("w", "2.1", 0, "c", None, "noun", "", "x")]
+    files.write_edition(spark.createDataFrame(rows_, "work_id string, ref string, token_index int, word string, l string, p string, f string, g string"), f"{tmp_path}/e")
+    back = {(r.ref, r.token_index): r.parses for r in files.read_occurrences(spark, f"{tmp_path}/e/shards/*/*/*").collect()}
+    assert set(back) == {("1.1", 0), ("1.1", 1), ("2.1", 0)} and back["1.1", 0][0].l == "la" and back["1.1", 1][0].confidence == 1.0
+    index = spark.read.json(f"{tmp_path}/e/index").select("source", "edition", "refs.*").first()
+    assert (index.source, index.edition, index["1.1"], index["2.1"]) == ("dcs", "source-locked", "chapter=1", "chapter=2")
+    units = files.read_parts(spark, f"{tmp_path}/e/text/*/*")
+    assert {(r.ref, tuple(r.words)) for r in units.collect()} == {("1.1", ("a", "b")), ("2.1", ("c",))}
+
+
+def test_files_of_several_roots_in_their_order(spark, tmp_path):
+    for name in ("b/x/2.txt", "b/x/1.txt", "a/y/3.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("t")
+    found = files.ordered_files(spark, [f"{tmp_path}/b", f"{tmp_path}/a"], "*/*.txt", least=3)
+    assert [f[-7:] for f in found] == ["x/1.txt", "x/2.txt", "y/3.txt"]
+    with pytest.raises(FileNotFoundError):
+        files.ordered_files(spark, [f"{tmp_path}/none"], "*")
+    with pytest.raises(ValueError):
+        files.ordered_files(spark, [f"{tmp_path}/a"], "*/*", least=2)
