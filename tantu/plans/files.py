@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tantu.operators import build, lookup, ordered, ranking, reading, search, stores
 from tantu.plans import corpus, duck
 from tantu.plans.duck import ELEMENTS, TOKENS, UNITS
-from tantu.session import shared_dir, table
+from tantu.session import shared_dir, table, written
 from tantu.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,7 +260,7 @@ def compound_files(spark, t, folder):
     """Pairs of tokens under range rows, as compounds of annotated sentences; those with an allowed key, here of an even number of letters."""
     _annotated(t, ranges=True).repartition("f").write.partitionBy("f").option("maxRecordsPerFile", 1).text(folder)
     rows = files.annotated_rows(files.annotated_lines(spark, f"{folder}/*/*"))
-    found = files.compound_entries(rows).withColumn("n", F.lit(1))
+    found = written(spark, files.compound_entries(rows).withColumn("n", F.lit(1)), "compounds")
     kept = files.gated(found, found.select(F.explode("keys").alias("key")).where("length(key) % 2 = 0"))
     return kept.select("form", F.array_join("keys", " ").alias("keys"), "l", "f", F.size("m").alias("members"))
 
