@@ -295,8 +295,10 @@ def _aligned(documents: DataFrame, items: DataFrame, runs: bool) -> DataFrame:
     gram = shortest_window(listed, GRAM if runs else EDITED_GRAM)
     pairs = seeded_pairs(documents, listed, gram, runs)
     asked = pairs.join(listed, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("text").alias("t"), "lang", "grams")).alias("asked"))
-    asked = written(documents.sparkSession, asked, "asked")  # of known size: where it is small, texts need not move
-    texts = documents.select("doc_id", "text").where("text is not null and text <> ''").join(asked, "doc_id")
+    asked = written(documents.sparkSession, asked, "asked")
+    # ids of known size: where they are few, the planner sends them to the texts, and only texts that are asked for move
+    texts = documents.select("doc_id", "text").where("text is not null and text <> ''").join(asked.select("doc_id"), "doc_id", "left_semi")
+    texts = texts.join(asked.hint("merge"), "doc_id")
     spread: Column = F.xxhash64("doc_id")  # few rows, much work
     texts = texts.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread)
 
