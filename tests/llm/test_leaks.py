@@ -134,13 +134,13 @@ def test_a_run_of_exactly_ten_words_with_broken_and_joined_words(spark):
 
 
 def test_edited_copies_are_found_as_by_aligning_everything(spark):
-    """Recall of edited copies against all pairs of documents and items, every fourth to twelfth word changed or gone."""
+    """Recall of edited copies against all pairs of documents and items, every third to twelfth word changed or gone."""
     rng = random.Random(11)
     listed = [" ".join(sentence(rng, 40)) for _ in range(12)]
     texts = []
     for k in range(150):
         w = rng.choice(listed).split()
-        step = rng.randint(4, 12)
+        step = rng.randint(3, 12)
         kept = [x for i, x in enumerate(x if i % step else rng.choice(["changed", ""]) for i, x in enumerate(w)) if x]
         texts.append(" ".join(sentence(rng, 15) + kept + sentence(rng, 15)) if k % 3 else " ".join(sentence(rng, 50)))
     want = set()
