@@ -149,7 +149,7 @@ _NONE = """('He', 'She', 'They', 'It', 'We', 'You', 'I', 'The', 'This', 'That',
  'Since', 'Although')"""
 
 
-@query(f"""with {ELEMENTS}, s as (select *, list_slice(regexp_extract_all(ltrim(text, ' \t\n\r'), '[A-Za-z]+|[^A-Za-z\s]'), 1, 3) as t from elements where lang = 'en'),
+@query(f"""with {ELEMENTS}, s as (select *, list_slice(regexp_extract_all(ltrim(text, ' \t\n\r'), '[A-Za-z]+|[^A-Za-z\\s]'), 1, 3) as t from elements where lang = 'en'),
  c as (select *, regexp_matches(t[1], '^[A-Z][a-z]+$') as a, regexp_matches(t[1], '^[A-Z][a-z]+$') and regexp_matches(t[2], '^[A-Z][a-z]+$') as b from s),
  n as (select *, case when a and t[2] = ':' or b and t[3] = ':' then t[1] not in {_NONE} when lower(t[1]) in ('soc', 'ion', 'cri', 'ceb', 'sim') and t[2] in (':', '.') then true
  when regexp_matches(t[1], '^[A-Z][a-z]') and (lower(t[2]) in {_SAYS} or length(t[2]) >= 2 and lower(t[3]) in {_SAYS}) then t[1] not in {_NONE} else false end as hit from c), k as (select *, coalesce(hit, false) as h from n)
