@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -96,10 +95,15 @@ def search_keys(key: str, most: int = DISTANCE) -> set[str]:
     return deletions(key, most) | {bare}
 
 
-@lru_cache(maxsize=8192)
+_BASES: dict[str, str] = {}  # letters met, without their marks; a plain dict, as the package travels to workers by value
+
+
 def _base(letter: str) -> str:
     """A letter without its marks."""
-    return strip_marks(letter)[:1]
+    found = _BASES.get(letter)
+    if found is None:
+        found = _BASES[letter] = strip_marks(letter)[:1]
+    return found
 
 
 def edit_cost(a: str, b: str, most: float, plain: bool = True) -> float:
@@ -176,7 +180,7 @@ def reference(headwords: DataFrame, values: DataFrame) -> DataFrame:
     return both.join(used, "val", "left").groupBy("head_id", "u", "iast").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
-_DICTIONARIES: dict[int, tuple] = {}  # of a Python worker: the deletion dictionary, so that later tasks find it built
+_DICTIONARIES: dict[int, tuple] = {}  # the deletion dictionary of a task, whose functions come by value and share this
 
 
 def deletion_dictionary(listed: list[tuple[int, str, str, int]], distance: int) -> tuple[dict[str, list[int]], dict[int, tuple[str, str]], dict[int, int]]:
