@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tantu.functions.lookalike import SUSPECT, consistent, free_letters, skeleton
+from tantu.functions.lookalike import SUSPECT, consistent, free_letters
 from tantu.session import written
 
 LIMIT = 100_000  # dictionary entries up to which the trie is broadcast; beyond, skeletons are joined
 MARK = 0.4  # weight of a combining mark that is added, left out or changed; other characters weigh 1
-END = "\0"
+END = ""  # no letter is empty
 
 
 def build_trie(words: list[tuple[str, str]]) -> dict:
@@ -37,23 +37,27 @@ def _weight(ch: str) -> float:
 
 
 def walk(trie: dict, token: str, budget: float = 0.0) -> tuple[float, list[tuple[str, str]]] | None:
-    """(cost, spellings) of the nearest dictionary words of a token within the budget, or None.
+    """(cost, spellings) of all nearest dictionary words of a token within the budget, or None.
 
     The automaton reads the token as it stands, character by character. Ignorables are passed at no cost, a character moves
     at no cost along any letter that it looks like; an added, missing or changed letter costs its weight. Cheapest states
-    first, so the first final state is nearest.
+    first, so the first final state is nearest; those that cost the same count too, so a tie doesn't depend on the trie.
     """
     read = free_letters(token)
     heap, seen, tick = [(0.0, 0, 0, trie)], set(), 0
+    nearest, found = None, []
     while heap:
         cost, _, at, node = heapq.heappop(heap)
+        if nearest is not None and cost > nearest:
+            break
         while at < len(read) and not read[at]:  # not seen: free
             at += 1
         if (id(node), at) in seen:
             continue
         seen.add((id(node), at))
         if at == len(read) and END in node:
-            return cost, node[END]
+            nearest = cost
+            found += node[END]
         here = read[at] if at < len(read) else None
         if here is not None and here in node:
             tick += 1
@@ -70,8 +74,8 @@ def walk(trie: dict, token: str, budget: float = 0.0) -> tuple[float, list[tuple
         for weight, new_at, child in moves:
             if weight <= left and (id(child), new_at) not in seen:
                 tick += 1
-                heapq.heappush(heap, (cost + weight, tick, new_at, child))
-    return None
+                heapq.heappush(heap, (round(cost + weight, 9), tick, new_at, child))
+    return None if nearest is None else (nearest, found)
 
 
 _TRIES: dict[tuple, tuple] = {}  # the trie of a task, whose functions come by value and share this
@@ -89,8 +93,8 @@ def _trie(held) -> dict:
 
 
 def dictionary_words(headwords: DataFrame) -> DataFrame:
-    """(spelling, head_id): both spellings of every headword; null and empty ones left out, the lowest id of a spelling."""
-    both = headwords.select(F.explode(F.array("u", "iast")).alias("spelling"), "head_id").where("spelling is not null and spelling <> ''")
+    """(spelling, head_id): both spellings of every headword that has an id; null and empty ones left out, the lowest id of a spelling."""
+    both = headwords.where("head_id is not null").select(F.explode(F.array("u", "iast")).alias("spelling"), "head_id").where("spelling is not null and spelling <> ''")
     return both.groupBy("spelling").agg(F.min("head_id").alias("head_id"))
 
 
@@ -108,17 +112,19 @@ def canonical(values: DataFrame, headwords: DataFrame, budget: float = 0.0, limi
     """``values`` (columns src, row_id, pos, val) with head_id, spelling and cost, where val stands for a dictionary word.
 
     Only values that differ from the spelling come out, unless all_rows: then every value, with its consistent spelling:
-    the dictionary's where one is within the budget, else the value normalised by table (head_id null). Several words of
-    one look: the lowest id. Nulls and empty values give no row. The trie is broadcast up to ``limit`` spellings; a larger
-    dictionary is matched by a join of skeletons where nothing may cost, else by tries of its parts; both find the same rows.
+    the dictionary's where one is within the budget, else the value normalised by table (head_id null). Of several words that
+    are as near: the value itself, one of its script, the lowest id. Nulls and empty values give no row. The trie is broadcast
+    up to ``limit`` spellings; a larger dictionary is matched by a join of what is read at no cost where nothing may cost, else
+    by tries of its parts. All compare the same letters and settle ties in the same order, so the rows don't depend on it.
     """
     words = dictionary_words(headwords)
     rows = values.where("val is not null and val <> ''")
     if words.limit(limit + 1).count() > limit:
         return _joined(rows, words, all_rows) if budget <= 0 else _in_parts(rows, words, budget, limit, all_rows)
-    listed = sorted((r.spelling, r.head_id) for r in words.collect())
+    found_words = words.withColumn("odd", F.col("spelling").rlike(SUSPECT)).collect()
+    listed = sorted((r.spelling, r.head_id) for r in found_words)
     suspects = rows.where(F.col("val").rlike(SUSPECT)) if budget <= 0 and not all_rows else rows
-    if any(skeleton(s) != skeleton(consistent(s)) or consistent(s) != s for s, _ in listed):
+    if any(r.odd for r in found_words):
         suspects = rows  # an uneven dictionary: plain values may be the odd ones
     found = _walked(suspects, listed, budget)
     return found if all_rows else found.where("head_id is not null and val <> spelling")
@@ -160,9 +166,7 @@ def _in_parts(rows: DataFrame, words: DataFrame, budget: float, limit: int, all_
     for part in range(2 * parts):
         listed = sorted((r.spelling, r.head_id) for r in cut.where(F.col("part") == part).collect())
         found.append(written(spark, _walked(vals, listed, budget).where("head_id is not null").select("val", "head_id", "spelling", "cost"), "part"))
-    script = lambda c: F.col(c).rlike("[\u0900-\u097F]")
-    order = F.struct("cost", (F.col("spelling") != F.col("val")).alias("a"), (script("spelling") != script("val")).alias("b"), "head_id", "spelling")
-    best = reduce(DataFrame.union, found).groupBy("val").agg(F.min(order).alias("w"))
+    best = _nearest(reduce(DataFrame.union, found))
     even = F.pandas_udf(lambda s: s.map(consistent), "string")
     out = rows.join(best, "val", "left" if all_rows else "inner").select("src", "row_id", "pos", "val", "w.head_id", F.coalesce("w.spelling", even("val")).alias("spelling"), "w.cost")
     return out if all_rows else out.where("val <> spelling")
@@ -172,14 +176,23 @@ def skeleton_script(word: str) -> bool:
     return any("ऀ" <= c <= "ॿ" for c in word)
 
 
+def _nearest(found: DataFrame) -> DataFrame:
+    """(val, w): the word (cost, head_id, spelling) of each value, in the order in which a walk settles ties."""
+    script = lambda c: F.col(c).rlike("[\u0900-\u097F]")
+    order = F.struct("cost", (F.col("spelling") != F.col("val")).alias("a"), (script("spelling") != script("val")).alias("b"), "head_id", "spelling")
+    return found.groupBy("val").agg(F.min(order).alias("w"))
+
+
 def _joined(rows: DataFrame, words: DataFrame, all_rows: bool) -> DataFrame:
-    looks = F.pandas_udf(lambda s: s.map(skeleton), "string")
+    """A dictionary too large for one trie, where nothing may cost: distinct values join the words that are read as the same letters."""
+    spark = rows.sparkSession
+    looks = F.pandas_udf(lambda s: s.map(lambda x: "".join(free_letters(x))), "string")
     even = F.pandas_udf(lambda s: s.map(consistent), "string")
-    held = words.withColumn("look", looks("spelling")).groupBy("look").agg(F.min(F.struct("head_id", "spelling")).alias("w"))
-    joined = rows.withColumn("look", looks("val")).join(held, "look", "left" if all_rows else "inner")
-    out = joined.select("src", "row_id", "pos", "val", F.col("w.head_id").alias("head_id"), F.coalesce("w.spelling", even("val")).alias("spelling"), F.when(F.col("w").isNotNull(), F.lit(0.0)).alias("cost"))
-    exact = words.select(F.col("spelling").alias("val"))
-    return out if all_rows else out.join(exact, "val", "left_anti")
+    vals = written(spark, rows.select("val").distinct().withColumn("look", looks("val")), "vals")
+    held = words.withColumn("look", looks("spelling"))
+    best = _nearest(vals.join(held, "look").withColumn("cost", F.lit(0.0)))
+    out = rows.join(best, "val", "left" if all_rows else "inner").select("src", "row_id", "pos", "val", "w.head_id", F.coalesce("w.spelling", even("val")).alias("spelling"), "w.cost")
+    return out if all_rows else out.where("val <> spelling")
 
 
 def lookalike_rows(tables) -> DataFrame:

@@ -132,3 +132,34 @@ def test_words_of_the_corpus(spark):
     morph = spark.createDataFrame([(1, [("y",)]), (2, []), (3, None)], "entry_id long, m array<struct<l:string>>")
     t = {"work_units": units, "mw_entries": mw, "morph_entries": morph}
     assert rows(lookalikes.corpus_words(t.get).where(F.col("val") != "")) == {("work_units", 1, 0, "a"), ("work_units", 2, 0, "b"), ("work_units", 2, 1, "c"), ("mw_entries", 1, 0, "x"), ("morph_entries", 1, 0, "y")}
+
+
+def test_rows_do_not_depend_on_the_size_of_the_dictionary(spark):
+    """Ties, words that are even but of another script, a null id: by one trie, by a join, by tries of parts."""
+    words = [(9, "ab", None), (3, "аb", "sada"), (4, "sadā", "sadi"), (5, "сор", "a:"), (6, "ओम", "क|"), (None, "none", None), (7, "काः", "sodā"), (8, "cd", "рр")]
+    texts = ["ab", "аb", "ab​", "sad", "sade", "cop", "aः", "अोम", "क।", "none​", "काः", "का:", "soda", "pp", "plain", "x​y"]
+    held, asked = headwords(spark, words), values(spark, texts)
+    for budget in (0.0, 1.0):
+        for all_rows in (False, True):
+            whole = rows(lookalikes.canonical(asked, held, budget=budget, all_rows=all_rows))
+            for limit in (1, 5):
+                assert rows(lookalikes.canonical(asked, held, budget=budget, all_rows=all_rows, limit=limit)) == whole, (budget, all_rows, limit)
+    found = {r.val: (r.head_id, r.spelling) for r in lookalikes.canonical(asked, held).collect()}
+    assert found == {"ab​": (3, "аb"), "cop": (5, "сор"), "aः": (5, "a:"), "अोम": (6, "ओम"), "क।": (6, "क|"), "का:": (7, "काः"), "pp": (8, "рр")}
+
+
+def test_even_texts_of_one_look_are_equal():
+    import itertools
+    import re
+
+    looks = {}
+    for n in (1, 2, 3):
+        for text in map("".join, itertools.product("अआएऐओऔऑऍकाेैोौॉॅः:।|a", repeat=n)):
+            if not re.search(JAVA(SUSPECT), text):
+                assert looks.setdefault(skeleton(text), text) == text
+
+
+def test_a_walk_returns_all_words_that_are_as_near():
+    for order in (1, -1):
+        trie = lookalikes.build_trie([("sada", 1), ("sadi", 2), ("xada", 3)][::order])
+        assert sorted(lookalikes.walk(trie, "sad", 1.0)[1]) == [("sada", 1), ("sadi", 2)]
