@@ -38,7 +38,8 @@ def canonical_keys(form: Column) -> Column:
     """Valid keys of a surface form: by its own script and by way of the other, without apostrophes."""
     plain = _no_apostrophe(form)
     other = F.when(has_devanagari(plain), dev_to_iast(plain)).otherwise(iast_to_dev(plain))
-    return valid_keys(F.array(_no_apostrophe(slp1_key(plain)), _no_apostrophe(slp1_key(other))))
+    both = F.transform(F.array(plain, other), lambda x: _no_apostrophe(slp1_key(x)))  # bound, as a key names its text several times
+    return valid_keys(both)
 
 
 def trusted_keys(form: Column) -> Column:

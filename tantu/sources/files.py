@@ -226,7 +226,8 @@ def fused_spans(rows: DataFrame, longest: int = 4, least_chars: int = 8, most_ch
     run = F.slice("h", -F.col("n"), F.col("n"))
     runs = runs.select("file", "line_no", "sentence", "n", F.array_join(F.transform(run, lambda x: x["form"]), "").alias("form"), F.transform(run, lambda x: x["m"]).alias("m"))
     last = F.element_at("m", -1)
-    kept = spread(runs, "file", "line_no").where(F.length("form").between(least_chars, most_chars) & (last["l"] != "न")).withColumn("keys", form_keys(F.col("form"))).where("size(keys) > 0")
+    fit = spread(runs, "file", "line_no").where(F.length("form").between(least_chars, most_chars) & (last["l"] != "न"))
+    kept = fit.withColumn("keys", F.explode(F.array(form_keys(F.col("form"))))).where("size(keys) > 0")  # made once: a filter on a column is put below it and makes it again
     return kept.select("file", "line_no", "sentence", "n", "form", "keys", last["l"].alias("l"), last["p"].alias("p"), last["f"].alias("f"), "m")
 
 

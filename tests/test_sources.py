@@ -51,6 +51,14 @@ def test_sentences_compounds_and_spans(spark, tmp_path):
     assert {r.form for r in files.gated(files.fused_spans(got), allowed).collect()} == {"abhūdanīñjamānena"}
 
 
+def test_keys_of_spans_are_made_once(spark, tmp_path):
+    """Above the last exchange of the plan one expression makes them, in no filter, and transliterates the form once."""
+    plan = files.fused_spans(annotated(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    kept = plan.split("Repartition")[0]
+    assert kept.count("regexp_extract_all(") == 1 and kept.count("(?!au|") + kept.count("(?!ai|") == 1
+    assert not [line for line in kept.split("\n") if "Filter" in line and "regexp_extract_all(" in line]
+
+
 def test_editions_of_sentences(spark, tmp_path):
     text = SENTENCES + "\n# sent_id = 478\n1\tdup\ta\tNOUN\t_\t_\t_\t_\t_\t_\n"
     got = files.sentence_edition(annotated(spark, tmp_path, text))
